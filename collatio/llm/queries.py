@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, warc
+from . import licenses, packing, quality, sharding, urls, warc
 
 QUERIES = {
+    "op2_packing": packing.packed_documents,
     "op3_sharding": sharding.sharded_documents,
+    "op5_url_filters": urls.judged_pages,
     "op6_warc": warc.archived_pages,
     "op7_quality_rules": quality.judged_documents,
+    "op9_license_scans": licenses.scanned_documents,
 }
 
-SQL = {"op6_warc": warc.ARCHIVED_SQL}
+SQL = {"op6_warc": warc.ARCHIVED_SQL, "op9_license_scans": licenses.SCANNED_SQL}
