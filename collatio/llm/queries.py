@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, quality, sharding, urls, warc
+from . import jaccard, licenses, packing, quality, sharding, urls, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.joined_documents,
     "op2_packing": packing.packed_documents,
     "op3_sharding": sharding.sharded_documents,
     "op5_url_filters": urls.judged_pages,
