@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, packing, quality, sharding, urls, warc
+from . import jaccard, licenses, packing, quality, sharding, substrings, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.joined_documents,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.archived_pages,
     "op7_quality_rules": quality.judged_documents,
     "op9_license_scans": licenses.scanned_documents,
+    "op10_substring_dedup": substrings.deduplicated_documents,
 }
 
 SQL = {"op6_warc": warc.ARCHIVED_SQL, "op9_license_scans": licenses.SCANNED_SQL}
