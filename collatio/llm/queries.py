@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, packing, quality, sharding, substrings, urls, warc
+from . import decontam, jaccard, licenses, packing, quality, sharding, substrings, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.joined_documents,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filters": urls.judged_pages,
     "op6_warc": warc.archived_pages,
     "op7_quality_rules": quality.judged_documents,
+    "op8_benchmark_decontamination": decontam.contaminated_documents,
     "op9_license_scans": licenses.scanned_documents,
     "op10_substring_dedup": substrings.deduplicated_documents,
 }
