@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, licenses, packing, quality, sharding, substrings, urls, warc
+from . import decontam, jaccard, langid, licenses, packing, quality, sharding, substrings, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.joined_documents,
     "op2_packing": packing.packed_documents,
     "op3_sharding": sharding.sharded_documents,
+    "op4_language_id": langid.identified_documents,
     "op5_url_filters": urls.judged_pages,
     "op6_warc": warc.archived_pages,
     "op7_quality_rules": quality.judged_documents,
