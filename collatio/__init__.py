@@ -1,0 +1 @@
+"""Document comparison at cluster scale, as Spark DataFrame plans over tables of original/modified pairs."""
