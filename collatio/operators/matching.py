@@ -63,7 +63,7 @@ def greedy_rounds(edges: DataFrame, floor: float = 0.0, checkpoint=lambda df: df
     while left.take(1):
         best = left.withColumn("__r", F.row_number().over(Window.partitionBy("pair_id", "o_idx").orderBy(*order))).withColumn("__c", F.row_number().over(Window.partitionBy("pair_id", "m_idx").orderBy(*order)))
         now = checkpoint(best.where("__r = 1 AND __c = 1").drop("__r", "__c"))
-        taken = taken.union(now)
+        taken = taken.unionByName(now)
         left = checkpoint(left.join(now.select("pair_id", "o_idx"), ["pair_id", "o_idx"], "left_anti").join(now.select("pair_id", "m_idx"), ["pair_id", "m_idx"], "left_anti"))
     return taken
 

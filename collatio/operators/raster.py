@@ -217,7 +217,7 @@ def compare_pages(original: DataFrame, modified: DataFrame, assets: bool = True,
         for b in batches:
             rows = []
             for pair, page, o, m in zip(b.pair_id, b.page, b.o, b.m):
-                o, m = (None if not isinstance(x, dict) or x.get("rgb") is None else x for x in (o, m))
+                o, m = (None if not isinstance(x, dict) or x.get("rgb") is None else x | {k: int(x[k]) for k in ("width_px", "height_px")} for x in (o, m))
                 if o is not None or m is not None:
                     rows.append({"pair_id": pair} | compare_page(int(page), o, m, assets))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _names()])

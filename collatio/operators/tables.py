@@ -70,14 +70,13 @@ def diff_rows(original: list[list[str]], modified: list[list[str]]) -> list[dict
     return out
 
 
-@F.pandas_udf(ROWS)
-def aligned_rows(original: pd.Series, modified: pd.Series) -> pd.Series:
+def _aligned(original: pd.Series, modified: pd.Series) -> pd.Series:
     return pd.Series([diff_rows(list(map(list, a)) if a is not None else [], list(map(list, b)) if b is not None else []) for a, b in zip(original, modified)])
 
 
 def row_diff(paired: DataFrame) -> DataFrame:
     """paired (with original_rows and modified_rows) with ``rows``, for tables that fit a task."""
-    return paired.withColumn("rows", aligned_rows("original_rows", "modified_rows"))
+    return paired.withColumn("rows", F.pandas_udf(_aligned, ROWS)("original_rows", "modified_rows"))
 
 
 def fast_row_diff(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -37,8 +37,7 @@ def is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
-@F.pandas_udf("array<string>")
-def zip_parts(content: pd.Series) -> pd.Series:
+def _zip_parts(content: pd.Series) -> pd.Series:
     """Those of PARTS that a zip file's directory lists; none for anything else."""
 
     def of(raw):
@@ -51,6 +50,10 @@ def zip_parts(content: pd.Series) -> pd.Series:
     return content.map(lambda raw: of(bytes(raw)) if raw is not None else [])
 
 
+def zip_parts(content: Column) -> Column:
+    return F.pandas_udf(_zip_parts, "array<string>")(content)
+
+
 def detected(filename: Column, content: Column) -> Column:
     """Struct of format and error; one of them is null."""
     ext, quoted = extension(filename), F.concat(F.lit("'"), F.coalesce(filename, F.lit("")), F.lit("'"))
