@@ -112,8 +112,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, f"part int, at long, doc_id {dict(docs.dtypes)['doc_id']}, n long, ids binary")
 
 
-def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids.
+def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
+    """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (unless ``with_ids`` is off) ids.
 
     Tokens are written once, each partition with its own running sums; the prefix sums of the partitions' totals then
     turn these into places in one global stream, which is cut every ``window`` ids. A document across a cut has a piece
@@ -130,23 +130,23 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = EN
 
     def cut(batches):
         for b in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
+            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)}
             for doc, n, place, raw in zip(b.doc_id, b.n, b.place, b.ids):
                 wide, start = np.frombuffer(raw, "<u2").astype("<u4"), 0
                 while start < n:
                     sequence, offset = divmod(place + start, window)
                     length = min(window - offset, n - start)
                     piece = wide[start : start + length]
-                    for k, v in zip(rows, (doc, start, length, zlib.crc32(piece.tobytes()), n, sequence, offset, piece.astype(np.int32))):
+                    for k, v in zip(rows, (doc, start, length, zlib.crc32(piece.tobytes()), n, sequence, offset, *[piece.astype(np.int32)] * with_ids)):
                         rows[k].append(v)
                     start += length
             yield pd.DataFrame(rows)
 
     placed = tokens.join(bases, "part").select("doc_id", "n", (F.col("base") + F.col("at")).alias("place"), "ids")
     kind = dict(docs.dtypes)["doc_id"]
-    return placed.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return placed.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
 
 def packed_documents(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """The pieces of all documents without their ids."""
-    return packed(table(spark, sf_dir, "documents"), vocabulary or default_vocabulary()).drop("ids")
+    return packed(table(spark, sf_dir, "documents"), vocabulary or default_vocabulary(), with_ids=False)
