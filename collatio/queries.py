@@ -245,9 +245,9 @@ src AS (SELECT o_custkey, o_orderkey AS k, [CAST(o_orderkey AS VARCHAR), o_order
 later AS (SELECT o_custkey, k * 2 AS place, CASE WHEN k % 5 = 2 THEN [row[1], 'X', row[3]] ELSE row END AS row FROM src WHERE k % 7 <> 3 UNION ALL SELECT o_custkey, k * 2 + 1, [row[1] || 'n', row[2]] FROM src WHERE k % 7 <> 3 AND k % 5 <> 2 AND k % 11 = 4),
 rows AS (SELECT o_custkey, 'o' AS side, row_number() OVER (PARTITION BY o_custkey ORDER BY k) - 1 AS idx, row, array_to_string(row, chr(31)) AS key FROM src
   UNION ALL SELECT o_custkey, 'm', row_number() OVER (PARTITION BY o_custkey ORDER BY place) - 1, row, array_to_string(row, chr(31)) FROM later),
-marked AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, key) = 2 AS both FROM rows),
-gaps AS (SELECT *, count(*) FILTER (both) OVER (PARTITION BY o_custkey, side ORDER BY idx) AS gap FROM marked),
-places AS (SELECT *, CASE WHEN both THEN 0 ELSE row_number() OVER (PARTITION BY o_custkey, side, gap, both ORDER BY idx) END AS p FROM gaps),
+marked AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, key) = 2 AS common FROM rows),
+gaps AS (SELECT *, count(*) FILTER (common) OVER (PARTITION BY o_custkey, side ORDER BY idx) AS gap FROM marked),
+places AS (SELECT *, CASE WHEN common THEN 0 ELSE row_number() OVER (PARTITION BY o_custkey, side, gap, common ORDER BY idx) END AS p FROM gaps),
 paired AS (SELECT coalesce(o.o_custkey, m.o_custkey) AS o_custkey, coalesce(o.gap, m.gap) AS gap, coalesce(o.p, m.p) AS p, o.idx AS o_idx, m.idx AS m_idx, o.row AS a, m.row AS b
   FROM (SELECT * FROM places WHERE side = 'o') o FULL JOIN (SELECT * FROM places WHERE side = 'm') m ON o.o_custkey = m.o_custkey AND o.gap = m.gap AND o.p = m.p),
 diffs AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY gap, p) - 1 AS INTEGER) AS seq, CASE WHEN p = 0 THEN 'equal' WHEN m_idx IS NULL THEN 'removed' WHEN o_idx IS NULL THEN 'added' ELSE 'modified' END AS type FROM paired)
