@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+import os
+import re
+from collections import Counter, deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import MATCH_TYPES, confidence, rounded, tier
-from ..functions.text import paragraphs
-from .alignment import word_diff
+from ..functions.labels import CLOSE, MAJOR, MATCH_TYPES, TIERS, confidence, rounded, tier
+from ..functions.text import LINE_BREAK, paragraphs
+from .alignment import SEGMENTS, diff_texts, word_diff
 from .similarity import provider
 
+#: Most paragraph combinations of a pair that is matched within a task.
+LOCAL_CELLS = 4_000_000
+
 
 def split_pairs(pairs: DataFrame) -> DataFrame:
     """(pair_id, side, idx, text) of the paragraphs of pairs (pair_id, original, modified); side is o or m."""
@@ -111,20 +120,137 @@ def document_order(matches: DataFrame) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(key) - 1).drop("__e")
 
 
-def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True) -> DataFrame:
-    """One row a match, in ``pos`` order: type, texts, similarity (4 digits), confidence (null where it is certain) and word segments."""
+def relational_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True) -> DataFrame:
+    """semantic_matches by joins and windows over exploded paragraphs: no pair has to fit a task (but its greedy matching; see greedy_rounds)."""
     parts = split_pairs(pairs)
     placed = document_order(match_paragraphs(parts, similarity))
     text = lambda side: parts.where(F.col("side") == side).select("pair_id", F.col("idx").alias(f"{side}_idx"), F.col("text").alias("original" if side == "o" else "modified"))
     out = placed.join(text("o"), ["pair_id", "o_idx"], "left").join(text("m"), ["pair_id", "m_idx"], "left")
     sure = F.col("type").isin("exact_match", "added", "removed")
     out = out.select(
-        "pair_id", "pos", "type", "original", "modified", "o_idx", "m_idx", "provider",
+        "pair_id", F.col("pos").cast("int").alias("pos"), "type", "original", "modified", "o_idx", "m_idx", "provider",
         F.when(F.col("type").isin("added", "removed"), F.lit(None)).otherwise(rounded(F.col("sim"), 4)).alias("similarity"), F.when(~sure, confidence(F.col("sim"))).alias("confidence"),
     )
     return out.withColumn("segments", word_diff(F.col("original"), F.col("modified"))["segments"]) if segments else out
 
 
+_TERM = re.compile(r"\b\w\w+\b")
+_BLANK = re.compile(r"\n\s*\n")
+MATCH = "pos int, type string, original string, modified string, o_idx int, m_idx int, provider string, similarity double, confidence string"
+
+
+def split_text(text: str | None) -> list[str]:
+    blocks = [x for b in _BLANK.split(text or "") if (x := b.strip())]
+    return blocks if len(blocks) > 1 else [x for b in (text or "").splitlines() if (x := b.strip())]
+
+
+def _similar(left: list[str], right: list[str]) -> list[tuple[float, int, int]]:
+    """(-similarity, i, j) of the pairs that share a term, by an index of the right side's terms."""
+    counts = [Counter(_TERM.findall(t.lower())) for t in (*left, *right)]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
+    unit = []
+    for c in counts:
+        w = {t: n * idf[t] for t, n in c.items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        unit.append({t: x / size for t, x in w.items()})
+    where: dict[str, list[tuple[int, float]]] = {}
+    for j, w in enumerate(unit[len(left) :]):
+        for t, x in w.items():
+            where.setdefault(t, []).append((j, x))
+    out = []
+    for i, w in enumerate(unit[: len(left)]):
+        row: dict[int, float] = {}
+        for t, x in w.items():
+            for j, y in where.get(t, ()):
+                row[j] = row.get(j, 0.0) + x * y
+        out += [(-min(s, 1.0), i, j) for j, s in row.items()]
+    return out
+
+
+def match_texts(original: str | None, modified: str | None) -> list[dict]:
+    """The matches of one pair in document order; see match_paragraphs and document_order for what they are."""
+    o, m = split_text(original), split_text(modified)
+    places: dict[str, deque] = {}
+    for j, t in enumerate(m):
+        places.setdefault(t, deque()).append(j)
+    rows, left = [], []
+    for i, t in enumerate(o):
+        if places.get(t):
+            rows.append((i, places[t].popleft(), "exact_match", 1.0))
+        else:
+            left.append(i)
+    right = sorted(j for js in places.values() for j in js)
+    both = bool(left and right)
+    if both:
+        free_o, free_m = set(left), set(right)
+        for s, a, b in sorted(_similar([o[i] for i in left], [m[j] for j in right])):
+            if left[a] in free_o and right[b] in free_m:
+                rows.append((left[a], right[b], None, -s))
+                free_o.remove(left[a])
+                free_m.remove(right[b])
+        rest_o, rest_m = sorted(free_o), sorted(free_m)
+        rows += [(i, j, None, 0.0) for i, j in zip(rest_o, rest_m)]
+        left, right = rest_o[len(rest_m) :], rest_m[len(rest_o) :]
+    anchors = sorted((j, i) for i, j, _, _ in rows)
+    rows += [(i, None, "removed", None) for i in left] + [(None, j, "added", None) for j in right]
+
+    def place(row):
+        i, j = row[:2]
+        if i is not None:
+            return float(i), i, -1 if j is None else j
+        k = bisect.bisect(anchors, (j, -1))
+        before, after = anchors[k - 1] if k else None, anchors[k] if k < len(anchors) else None
+        if before and after:
+            return before[1] + ((j - before[0]) / (after[0] - before[0])) * (after[1] - before[1]), -1, j
+        if before:
+            return before[1] + 0.5 + 0.01 * (j - before[0]), -1, j
+        return (after[1] - 0.5 + 0.01 * (j - after[0]) if after else float(j)), -1, j
+
+    out = []
+    for pos, (i, j, kind, s) in enumerate(sorted(rows, key=place)):
+        scored = kind is None
+        if scored:
+            kind = next((t for t, least in TIERS if s >= least), MAJOR)
+        sure = "low" if scored and min(abs(s - least) for _, least in TIERS) <= CLOSE else "high" if scored else None
+        out.append({
+            "pos": pos, "type": kind, "original": None if i is None else o[i], "modified": None if j is None else m[j], "o_idx": i, "m_idx": j,
+            "provider": "tfidf" if both and kind != "exact_match" else "n/a", "similarity": None if s is None else round(s, 4), "confidence": sure,
+        })
+    return out
+
+
+def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True) -> DataFrame:
+    """One row a match, in ``pos`` order: type, texts, similarity (4 digits), confidence (null where it is certain) and word segments.
+
+    Pairs are matched where they stand, without a shuffle. Pairs of more than LOCAL_CELLS paragraph combinations, and all pairs if another
+    provider than TF-IDF is asked for, go through relational_matches.
+    """
+    if (similarity or os.environ.get("SEMANTIC_PROVIDER", "tfidf")) != "tfidf":
+        return relational_matches(pairs, similarity, segments)
+    pairs = pairs.select("pair_id", "original", "modified")
+    breaks = lambda c: F.length(F.coalesce(c, F.lit(""))) - F.length(F.regexp_replace(F.coalesce(c, F.lit("")), LINE_BREAK, "")) + 1
+    large = breaks("original").cast("long") * breaks("modified") > LOCAL_CELLS
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for pair, original, modified in zip(b.pair_id, b.original, b.modified):
+                for r in match_texts(original, modified):
+                    r["pair_id"] = pair
+                    if segments:
+                        r["segments"] = diff_texts(r["original"], r["modified"])["segments"]
+                    rows.append(r)
+            out = pd.DataFrame(rows, columns=["pair_id", *(c.split()[0] for c in MATCH.split(", ")), *["segments"] * segments])
+            yield out.astype({"o_idx": "Int32", "m_idx": "Int32"})
+
+    schema = f"pair_id {dict(pairs.dtypes)['pair_id']}, {MATCH}" + f", segments {SEGMENTS}" * segments
+    local = pairs.where(~large).mapInPandas(run, schema)
+    if not pairs.where(large).take(1):
+        return local
+    return local.unionByName(relational_matches(pairs.where(large), similarity, segments))
+
+
 def match_stats(matches: DataFrame) -> DataFrame:
     """(pair_id, one count for each match type)."""
     return matches.groupBy("pair_id").agg(*[F.count_if(F.col("type") == t).alias(t) for t in MATCH_TYPES])

@@ -9,6 +9,7 @@ from ..functions.text import SPACE, too_long
 from ..operators import formatting, matching, raster, tables
 from ..operators.alignment import word_diff
 from ..sources import parsers
+from .scratch import written
 from .summary import PAGE_DIFFERS, with_summary
 
 ONE_SIDED_TABLES = "Table structure comparison was skipped because only one of these documents has spreadsheet-like tables — showing text comparison only."
@@ -16,10 +17,11 @@ ONE_SIDED_FORMATS = "Formatting (font/style) comparison was skipped because it's
 NO_RENDERER = "Visual page comparison could not be completed for these documents."
 
 
-def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None = None, plain: bool = False) -> DataFrame:
     """One row a pair of (pair_id, original_name, original_content, modified_name, modified_content): status, error, similarity, stats, segments, warnings and the layers.
 
     A layer that does not apply is null. Files that cannot be read make the pair ``failed`` with their message; other pairs go on.
+    With ``plain`` all files are known to be texts, so that no other layer than text and meaning is planned.
     ``pages`` are rasters of the original and modified sides from a rendering provider; without them the visual layer of pdf and docx pairs is a warning.
     """
     docs = None
@@ -27,18 +29,21 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
         files = pairs.select("pair_id", F.col(f"{side}_name").alias("filename"), F.col(f"{side}_content").alias("content"))
         one = parsers.extracted(files).select("pair_id", F.col("doc").alias(side[0]))
         docs = one if docs is None else docs.join(one, "pair_id")
-    docs = docs.withColumn("error", F.coalesce("o.error", "m.error"))
+    docs = written(docs.withColumn("error", F.coalesce("o.error", "m.error")), "documents")
     good = docs.where("error IS NULL")
     texts = good.select("pair_id", F.col("o.text").alias("original"), F.col("m.text").alias("modified"))
     text = texts.select("pair_id", word_diff(F.col("original"), F.col("modified")).alias("d")).select("pair_id", "d.similarity", "d.segments", F.struct("d.added", "d.removed", "d.replaced", "d.equal").alias("stats"))
     blank = lambda c: ~F.col(c).rlike(f"[^{SPACE}]")
     meaning = _meaning(texts.where(~blank("original") & ~blank("modified")))
     sheets = _tables(good.where((F.size("o.tables") > 0) & (F.size("m.tables") > 0)))
+    off = lambda layer: good.select("pair_id", F.lit(None).cast(layer.schema[1].dataType).alias(layer.columns[1]))
     docx = lambda side: pairs.where(F.lower(f"{side}_name").endswith(".docx")).select("pair_id", F.lit(side[0]).alias("side"), F.col(f"{side}_name").alias("filename"), F.col(f"{side}_content").alias("content"))
     formats = ["docx", "pdf"]
     styled = good.where((F.col("o.format") == "docx") & (F.col("m.format") == "docx")).select("pair_id")
     runs = parsers.formatting_runs(docx("original").unionByName(docx("modified")), ["pair_id", "side"]).join(styled, "pair_id", "left_semi")
     style = _formats(formatting.paragraph_formats(runs), styled)
+    if plain:
+        sheets, style = off(sheets), off(style)
     fits = lambda c: F.col(c).isin(*formats)
     visual = good.where(fits("o.format") & fits("m.format")).select("pair_id")
     if pages is not None:
@@ -65,12 +70,12 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
 
 
 def _meaning(texts: DataFrame) -> DataFrame:
-    matches = matching.semantic_matches(texts)
-    rows = matches.groupBy("pair_id").agg(
+    rows = matching.semantic_matches(texts).groupBy("pair_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "type", "original", "modified", "similarity", "confidence", "segments"))).alias("matches"),
         F.coalesce(F.max(F.when(F.col("provider") != "n/a", F.col("provider"))), F.lit("n/a")).alias("provider"),
+        *[F.count_if(F.col("type") == t).alias(t) for t in matching.MATCH_TYPES],
     )
-    return rows.join(matching.match_stats(matches), "pair_id").select("pair_id", F.struct("provider", "matches", F.struct(*matching.MATCH_TYPES).alias("stats")).alias("semantic_diff"))
+    return rows.select("pair_id", F.struct("provider", "matches", F.struct(*matching.MATCH_TYPES).alias("stats")).alias("semantic_diff"))
 
 
 def _tables(docs: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def compare_texts(pairs: DataFrame) -> DataFrame:
     """compare_files for pasted texts (pair_id, original, modified); texts beyond the limit fail their pair."""
     over = F.when(too_long(F.col("original")), "The original text is too long.").when(too_long(F.col("modified")), "The modified text is too long.")
     named = pairs.select("pair_id", *[x for s in ("original", "modified") for x in (F.lit(f"pasted-{s}.txt").alias(f"{s}_name"), F.encode(F.coalesce(s, F.lit("")), "UTF-8").alias(f"{s}_content"))])
-    out = compare_files(named).join(pairs.select("pair_id", over.alias("__over")), "pair_id")
+    out = compare_files(named, plain=True).join(pairs.select("pair_id", over.alias("__over")), "pair_id")
     fields = [F.when(F.col("__over").isNull(), F.col(c)).alias(c) for c in out.columns if c not in ("pair_id", "status", "error", "__over")]
     return out.select("pair_id", F.when(F.col("__over").isNull(), F.col("status")).otherwise("failed").alias("status"), F.coalesce("__over", "error").alias("error"), *fields)
 
