@@ -483,8 +483,11 @@ def mode_tabs(spark, sf_dir):
     return out.select("o_orderkey", *[F.array_join(c, ",").alias(c) for c in ("tabs", "content_tabs", "appearance_tabs")], "first_tab")
 
 
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN o_orderpriority END AS error_message, a.c_name AS original_filename, b.c_name AS modified_filename, CASE WHEN o_orderstatus = 'F' THEN n END AS n_results
-FROM orders JOIN customer a ON a.c_custkey = o_custkey JOIN customer b ON b.c_custkey = 1 + o_custkey % (SELECT count(*) FROM customer) LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
+@query("""WITH c AS MATERIALIZED (SELECT c_custkey, c_name || '' AS c_name FROM customer), n AS (SELECT count(*) AS n FROM customer),
+j AS MATERIALIZED (SELECT o_orderkey, o_custkey, 1 + o_custkey % n AS other, o_orderstatus || '' AS s, o_orderpriority || '' AS p FROM orders, n),
+r AS MATERIALIZED (SELECT l_orderkey, count(*) AS n_results FROM lineitem GROUP BY l_orderkey),
+v AS MATERIALIZED (SELECT o_orderkey, s, p, a.c_name AS original_filename, b.c_name AS modified_filename, n_results FROM j JOIN c a ON a.c_custkey = o_custkey JOIN c b ON b.c_custkey = other LEFT JOIN r ON l_orderkey = o_orderkey)
+SELECT o_orderkey, CASE s WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, CASE WHEN s NOT IN ('F', 'O') THEN p END AS error_message, original_filename, modified_filename, CASE WHEN s = 'F' THEN n_results END AS n_results FROM v""")
 def job_status_view(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
     n = customers.count()
