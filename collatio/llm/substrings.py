@@ -190,7 +190,10 @@ def text_words(text: str | None) -> list[str]:
 
 
 def flagged(own: DataFrame) -> DataFrame:
-    """(rid, spans) of the rows with repeated windows: spans are (lo, mask), bit i for the window at word lo + i."""
+    """(rid, spans) of the rows with repeated windows: spans are (lo, mask), bit i for the window at word lo + i.
+
+    All joins with ``own`` ask for all its columns, so that its texts are shuffled once and that exchange is used again.
+    """
 
     def scan(batches):
         for b in batches:
@@ -211,12 +214,12 @@ def flagged(own: DataFrame) -> DataFrame:
     if some_hot:
         distinct = distinct.join(hot, "fp", "left_anti")
     carriers = distinct.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("fp", "digest", "n", F.col("at.lo").alias("lo"), F.col("at.nw").alias("nw"))).alias("spans"))
-    contexts = own.join(carriers, "rid").select("rid", "doc_id", "text", "spans").mapInPandas(_contexts, "fp long, digest long, n long, nw int, words string")
+    contexts = own.join(carriers, "rid").select(*own.columns, "spans").mapInPandas(_contexts, "fp long, digest long, n long, nw int, words string")
     masks = contexts.repartition("fp").sortWithinPartitions("fp").mapInPandas(_matched, "fp long, digest long, mask long").where("mask != 0")
     found = runs.join(masks, ["fp", "digest"]).select("rid", "lo", "mask")
     if some_hot:
         spans = runs.join(hot, "fp").groupBy("rid").agg(F.collect_set(F.struct("lo", "nw")).alias("spans"))
-        windows = written(own.join(spans, "rid").select("rid", "text", "spans").mapInPandas(_windows, "rid long, lo int, window binary"), "windows")
+        windows = own.join(spans, "rid").select(*own.columns, "spans").mapInPandas(_windows, "rid long, lo int, window binary")
         again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
         found = found.union(windows.join(again, "window").select("rid", "lo", F.lit(1).cast("long")))
     return found.groupBy("rid").agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
@@ -267,9 +270,9 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
             out = {"doc_id": b.doc_id.array} | {f"k_{i}": b[f"k_{i}"].array for i in range(len(keep))} | rows
             yield pd.DataFrame(out)
 
-    marked = own.join(flagged(own.select("doc_id", "text", "rid")), "rid", "left")
+    marked = own.join(flagged(own), "rid", "left")
     schema = f"doc_id {kinds['doc_id']}, " + "".join(f"k_{i} {kinds[c]}, " for i, c in enumerate(keep)) + "n_words long, n_removed long, kept_sha256 string, kept string"
-    return marked.select("doc_id", *[f"k_{i}" for i in range(len(keep))], "text", "spans").mapInPandas(remove, schema)
+    return marked.select(*own.columns, "spans").mapInPandas(remove, schema)
 
 
 def deduplicated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
