@@ -106,3 +106,20 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that stands in it."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+CONTAMINATED_SQL = r"""
+WITH items AS (SELECT item_id, ws, len(ws) AS n, least(5, len(ws)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
+ig AS (SELECT item_id, n, k, i - 1 AS q, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, ws, len(ws) AS m FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
+dg AS (SELECT doc_id, m, k, i - 1 AS p, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items) WHERE m >= k)),
+wins AS (SELECT DISTINCT doc_id, m, n, k, greatest(0, least(p - q, m - n)) AS start FROM dg JOIN ig USING (k, s)),
+wg AS (SELECT doc_id, m, n, start, s, count(*) AS c FROM wins JOIN dg USING (doc_id, m, k) WHERE p BETWEEN start AND start + least(n, m) - k GROUP BY ALL),
+wt AS (SELECT doc_id, n, start, sum(c * length(s)) AS total FROM wg GROUP BY ALL),
+ic AS (SELECT item_id, n, s, count(*) AS c FROM ig GROUP BY ALL),
+it AS (SELECT item_id, n, sum(c * length(s)) AS total FROM ic GROUP BY ALL),
+inter AS (SELECT doc_id, m, n, start, item_id, sum(least(wg.c, ic.c) * length(s)) AS lo FROM wg JOIN ic USING (n, s) GROUP BY ALL),
+sims AS (SELECT doc_id, item_id, start, least(n, m) AS n_words, lo, wt.total + it.total - lo AS hi FROM inter JOIN wt USING (doc_id, n, start) JOIN it USING (item_id, n)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY lo / hi DESC, start) AS r FROM sims WHERE 10 * lo >= 8 * hi)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words, CAST(lo AS DOUBLE) / CAST(hi AS DOUBLE) AS similarity FROM best WHERE r = 1
+"""

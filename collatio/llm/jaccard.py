@@ -236,3 +236,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def joined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class and its number of links."""
     return linked(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+JOINED_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+runs AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.r),
+classes AS (SELECT doc_id, min(r) AS class_id FROM reached GROUP BY doc_id),
+counts AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS copies FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(copies, 0) AS n_copies FROM classes LEFT JOIN counts USING (doc_id)
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_substring_dedup": substrings.deduplicated_documents,
 }
 
-SQL = {"op6_warc": warc.ARCHIVED_SQL, "op9_license_scans": licenses.SCANNED_SQL}
+SQL = {
+    "op1_ngram_jaccard_join": jaccard.JOINED_SQL,
+    "op6_warc": warc.ARCHIVED_SQL,
+    "op8_benchmark_decontamination": decontam.CONTAMINATED_SQL,
+    "op9_license_scans": licenses.SCANNED_SQL,
+    "op10_substring_dedup": substrings.DEDUPLICATED_SQL,
+}
