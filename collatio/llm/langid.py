@@ -31,47 +31,46 @@ def features(word: str) -> list[str]:
 class Field:
     """Feature weights, transitions and a cache of word emissions."""
 
+    class _Types(dict):
+        def __init__(self, make):
+            self.make = make
+
+        def __missing__(self, word):
+            at = self[word] = self.make(word)
+            return at
+
     def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.langs, self.index, self.weights, self.transitions = langs, index, weights, transitions
-        self.types: dict[str, int] = {}
+        self.types, self.rows = self._Types(self._type), 0
         self.table = np.empty((1024, len(langs)))
 
-    def __getstate__(self):
-        return {"langs": self.langs, "index": self.index, "weights": self.weights, "transitions": self.transitions}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
+    def __reduce__(self):
+        return Field, (self.langs, self.index, self.weights, self.transitions)
 
     def _type(self, word: str) -> int:
         if not any(c.isalpha() for c in word):
-            at = -1
-        else:
-            at = len(self.types)
-            if at >= len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            e = self.weights[[self.index[f] for f in features(word) if f in self.index]].sum(0)
-            self.table[at] = np.exp(e - e.max())
-        self.types[word] = at
-        return at
+            return -1
+        if self.rows >= len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        e = self.weights[[self.index[f] for f in features(word) if f in self.index]].sum(0)
+        self.table[self.rows] = np.exp(e - e.max())
+        self.rows += 1
+        return self.rows - 1
 
     def emissions(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the row of each of its words' emissions (in self.table)."""
         if len(self.types) > CACHED_TYPES:
             self.types.clear()
+            self.rows = 0
         out = []
         for t in texts:
-            ids = []
-            for w in _LETTERS.findall(t.lower()):
-                i = self.types.get(w)
-                ids.append(self._type(w) if i is None else i)
-            a = np.array(ids, np.int64)
-            out.append(a[a >= 0])
+            a = np.array(list(map(self.types.__getitem__, _LETTERS.findall(t.lower()))), np.int64)
+            out.append(a if len(a) == 0 or a.min() >= 0 else a[a >= 0])
         return out
 
-    def posteriors(self, texts: list[str]) -> list[np.ndarray]:
-        """Words by languages, for each text."""
+    def _groups(self, texts: list[str], sums: bool):
+        """(numbers of texts, their lengths in words, result) of texts with words, the longest first, some at a time."""
         ids = self.emissions(texts)
-        out: list = [np.empty((0, len(self.langs)))] * len(texts)
         order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
         lo = 0
         while lo < len(order):
@@ -81,42 +80,65 @@ class Field:
                 hi += 1
             some = order[lo:hi]
             length = np.array([len(ids[i]) for i in some])
-            p = forward_backward(self.table[np.concatenate([ids[i] for i in some])], length, np.exp(self.transitions))
+            yield some, length, forward_backward(self.table[np.concatenate([ids[i] for i in some])], length, np.exp(self.transitions), sums=sums)
+            lo = hi
+
+    def posteriors(self, texts: list[str]) -> list[np.ndarray]:
+        """Words by languages, for each text."""
+        out: list = [np.empty((0, len(self.langs)))] * len(texts)
+        for some, length, p in self._groups(texts, False):
             for i, part in zip(some, np.split(p, np.cumsum(length)[:-1])):
                 out[i] = part
-            lo = hi
         return out
 
+    def means(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Each text's mean posterior over its words; None without words."""
+        out: list = [None] * len(texts)
+        for some, length, total in self._groups(texts, True):
+            for i, mean in zip(some, total / length[:, None]):
+                out[i] = mean
+        return out
 
-def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
-    """Marginals of sequences laid end to end, the longest first; ``pairs`` gets the expected transitions added."""
-    start = np.cumsum(length) - length
+
+def forward_backward(e: np.ndarray, length: np.ndarray, trans: np.ndarray, pairs: np.ndarray | None = None, sums: bool = False) -> np.ndarray:
+    """Marginals of sequences laid end to end, the longest first, or (``sums``) their sums by sequence; ``pairs`` gets the expected transitions added.
+
+    Rows are laid out by place in the sequence, so that each step works on one slice over all sequences that are that long.
+    """
+    k, start = e.shape[1], np.cumsum(length) - length
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # sequences longer than t
+    off = np.r_[0, np.cumsum(active)]
+    source = start[np.arange(len(e)) - np.repeat(off[:-1], active)] + np.repeat(np.arange(length[0]), active)
+    e, ones, back = e[source], np.ones((k, k)), np.ascontiguousarray(trans.T)
     alpha = np.empty_like(e)
-    a = e[start]
-    a = a / a.sum(1, keepdims=True)
-    alpha[start] = a
-    for t in range(1, length[0]):
-        at = start[: active[t]] + t
-        a = (a[: active[t]] @ trans) * e[at]
-        a /= a.sum(1, keepdims=True)
-        alpha[at] = a
-    beta = np.ones((len(length), e.shape[1]))
-    out = np.empty_like(e)
+    a = np.ones((len(length), k))
+    for t in range(length[0]):
+        lo, hi = off[t], off[t + 1]
+        a = (a[: hi - lo] @ trans if t else a) * e[lo:hi]
+        a /= a @ ones
+        alpha[lo:hi] = a
+    beta, total = np.ones((len(length), k)), np.zeros((len(length), k))
     for t in range(length[0] - 1, -1, -1):
-        k = active[t]
-        at = start[:k] + t
-        g = alpha[at] * beta[:k]
-        g /= g.sum(1, keepdims=True)
-        out[at] = g
+        lo, hi = off[t], off[t + 1]
+        n = hi - lo
+        g = alpha[lo:hi] * beta[:n]
+        g /= g @ ones
         if t:
-            eb = e[at] * beta[:k]
+            eb = e[lo:hi] * beta[:n]
             if pairs is not None:
-                prev = alpha[at - 1]
-                z = ((prev @ trans) * eb).sum(1, keepdims=True)
-                pairs += trans * (prev.T @ (eb / z))
-            b = eb @ trans.T
-            beta[:k] = b / b.sum(1, keepdims=True)
+                prev = alpha[off[t - 1] : off[t - 1] + n]
+                pairs += trans * (prev.T @ (eb / (((prev @ trans) * eb) @ ones)))
+            b = eb @ back
+            b /= b @ ones
+            beta[:n] = b
+        if sums:
+            total[:n] += g
+        else:
+            alpha[lo:hi] = g
+    if sums:
+        return total
+    out = np.empty_like(alpha)
+    out[source] = alpha
     return out
 
 
@@ -220,10 +242,9 @@ def identified(docs: DataFrame, field: Field | None) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b.doc_id.array, "held_out": b.held_out.array, "lang_pred": UNKNOWN, "score": 0.0})
                 continue
             pred, score = [], []
-            for p in f.posteriors([t or "" for t in b.text]):
-                mean = p.mean(0) if len(p) else None
-                pred.append(f.langs[int(mean.argmax())] if len(p) else UNKNOWN)
-                score.append(float(min(max(mean.max(), 0.0), 1.0)) if len(p) else 0.0)
+            for mean in f.means([t or "" for t in b.text]):
+                pred.append(UNKNOWN if mean is None else f.langs[int(mean.argmax())])
+                score.append(0.0 if mean is None else float(min(max(mean.max(), 0.0), 1.0)))
             yield pd.DataFrame({"doc_id": b.doc_id.array, "held_out": b.held_out.array, "lang_pred": pred, "score": score})
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
