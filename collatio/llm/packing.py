@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW, END = 4096, 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 BROADCAST_PARTITIONS = 1_000_000
 #: What the tokenizer's own splitter makes of lower-case Latin-1 text without special tokens.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t\n\x0b\x0c\r0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
@@ -129,18 +129,21 @@ def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = EN
         bases = F.broadcast(bases)
 
     def cut(batches):
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
         for b in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)}
-            for doc, n, place, raw in zip(b.doc_id, b.n, b.place, b.ids):
-                wide, start = np.frombuffer(raw, "<u2").astype("<u4"), 0
-                while start < n:
-                    sequence, offset = divmod(place + start, window)
-                    length = min(window - offset, n - start)
-                    piece = wide[start : start + length]
-                    for k, v in zip(rows, (doc, start, length, zlib.crc32(piece.tobytes()), n, sequence, offset, *[piece.astype(np.int32)] * with_ids)):
-                        rows[k].append(v)
-                    start += length
-            yield pd.DataFrame(rows)
+            for lo in range(0, len(b), 500):  # few texts at a time, lest their ids stand in memory more than once
+                few = b.iloc[lo : lo + 500]
+                rows: dict[str, list] = {k: [] for k in names}
+                for doc, n, place, raw in zip(few.doc_id, few.n, few.place, few.ids):
+                    wide, start = np.frombuffer(raw, "<u2").astype("<u4"), 0
+                    while start < n:
+                        sequence, offset = divmod(place + start, window)
+                        length = min(window - offset, n - start)
+                        piece = wide[start : start + length]
+                        for k, v in zip(rows, (doc, start, length, zlib.crc32(piece.tobytes()), n, sequence, offset, piece.view(np.int32))):
+                            rows[k].append(v)
+                        start += length
+                yield pd.DataFrame(rows)
 
     placed = tokens.join(bases, "part").select("doc_id", "n", (F.col("base") + F.col("at")).alias("place"), "ids")
     kind = dict(docs.dtypes)["doc_id"]
