@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sampled, table
 
 #: (host and path, verdict); a rule's host is up to its first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -134,8 +134,8 @@ def _suffix_columns(stats, other) -> list[Column]:
 def judged_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score (probability of block) of every page.
 
-    ``labelled`` has (url, verdict); without it the urls that a rule decides serve as labels. At most ``sample`` rows of either verdict, the
-    first by a seeded hash of the url, come to the driver as features to train on; with one verdict only, no tree is grown and the
+    ``labelled`` has (url, verdict); without it the urls that a rule decides serve as labels. At most ``sample`` different urls of either verdict, the
+    first by a seeded hash, come to the driver as features to train on; with one verdict only, no tree is grown and the
     method allows. Null urls and such without ``://`` have empty host and path and get the trees' verdict; repeated rows and
     null ids are kept; columns besides page_id and url are ignored.
     """
@@ -150,7 +150,7 @@ def judged_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     taught = own.select("__url", "host", "path", F.col("__says").alias("label")) if labelled is None else parts(labelled, "verdict").select("__url", "host", "path", F.col("verdict").alias("label"))
     rows = []
     for label in ("allow", "block"):
-        some = taught.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(SEED), "__url"), "__url").limit(sample)
+        some = sampled(taught.where(F.col("label") == label).dropDuplicates(["__url"]), sample, SEED, "__url")
         rows += lexical(some).select("suffix", "label", *FEATURES).collect()
     y = np.array([r["label"] == "block" for r in rows], dtype=float)
     scored = lexical(own)
