@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
@@ -51,12 +51,29 @@ ANCHORS = ("licens", "copyright", "permission", "software", "redistribution", "r
 #: Sentences end at line breaks and at marks before blanks.
 SPLIT = r"[\n\r]|[.!?;:]+[ \t]"
 KNOWN = {s: k for k, some in SENTENCES.items() for s in some}
+#: Sentences of genuine notices that hold two known ones, joined by a comma, or a mark inside (a dot stands for it); SCANNED_SQL has none of them.
+JOINED = {f"{SENTENCES['L'][0]} {SENTENCES[k][0]}": "L" + k for k in "MN"} | {"this source code form is subject to the terms of the mozilla public license v.2 0": "W"}
 
 
-def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _wrapped_ids(text: Column) -> Column:
+    """Identifiers of a text whose lines may be wrapped: a known sentence may stand on any number of lines of a paragraph, and starts and ends at line ends or marks.
+
+    Words are parted by a blank, by a line break within a paragraph, or by a dot for marks before blanks and for blank lines (lines without ASCII letters and digits).
+    """
+    s = F.regexp_replace(F.translate(F.regexp_replace(text, "\r\n", "\n"), "\u0001\r", " \n"), r"[.!?;:](?=[ \t\n])", "\u0001")
+    s = F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9\n\x01]+", " "), r" ?(?:\n ?(?:\n|\x01)|\x01)[ \n\x01]*", ".")
+    s = F.trim(F.lower(F.regexp_replace(s, r" ?\n ?", "\n")))
+    known = KNOWN | JOINED
+    some = "|".join(x.replace(".", "[.]").replace(" ", r"[ \n]") for x in sorted(known, key=len, reverse=True))
+    hits = F.regexp_extract_all(s, F.lit(rf"(?<![a-z0-9 ])(?:(?:{some})(?![a-z0-9 ])|{COPYRIGHT[1]}(?=[ \n][a-z0-9]))"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for s, k in known.items() for x in (s, k)])
+    return F.array_join(F.transform(hits, lambda h: F.coalesce(names[F.translate(h, "\n", " ")], F.lit(COPYRIGHT[0]))), "")
+
+
+def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), wrapped: bool = False) -> DataFrame:
     """The columns ``keep`` with ``sentence_ids`` (identifiers in the text's order), ``licenses`` (comma-joined, in order of their places, repeats kept) and ``n_licenses``.
 
-    Null, empty and unlicensed texts give empty strings and 0; texts are scanned whole; repeated rows and null ids are kept; an
+    With ``wrapped`` a sentence may go on over line breaks of its paragraph, as in all genuine notices; without, a line break ends it, as in SCANNED_SQL. Null, empty and unlicensed texts give empty strings and 0; texts are scanned whole; repeated rows and null ids are kept; an
     empty table gives no rows. Letters beyond ASCII count as blanks.
     """
     text = text_or_empty()
@@ -64,7 +81,7 @@ def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     known = F.create_map(*[F.lit(x) for s, k in KNOWN.items() for x in (s, k)])
     normal = lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
     label = lambda s: F.coalesce(known[normal(s)], F.when(normal(s).startswith(COPYRIGHT[1] + " "), COPYRIGHT[0]).otherwise(""))
-    ids = F.when(fit, F.array_join(F.transform(F.split(text, SPLIT), label), "")).otherwise("")
+    ids = F.when(fit, _wrapped_ids(text) if wrapped else F.array_join(F.transform(F.split(text, SPLIT), label), "")).otherwise("")
     found = docs.select(*keep, ids.alias("sentence_ids"))
     hits = F.regexp_extract_all("sentence_ids", F.lit("|".join(seq for _, seq in RULES)), 0)
     names = F.create_map(*[F.lit(x) for name, seq in reversed(RULES) for x in (seq, name)])
@@ -74,7 +91,7 @@ def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences of every document."""
-    return scanned(table(spark, sf_dir, "documents"))
+    return scanned(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def _sql() -> str:

@@ -369,6 +369,73 @@ def test_licenses(spark, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD_NOTICE = """Copyright 2020 Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL_NOTICE = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful.
+ */"""
+MPL_NOTICE = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC_NOTICE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_licence_notices(spark, empty):
+    gpl2 = GPL_NOTICE.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    rows = [
+        (1, MIT_NOTICE), (2, MIT_NOTICE.replace("\n", "\r\n")), (3, BSD_NOTICE), (4, GPL_NOTICE), (5, GPL_NOTICE.replace("\n *", "")), (6, gpl2), (7, MPL_NOTICE), (8, ISC_NOTICE),
+        (9, "Released under\nthe MIT License."), (10, "Released under\n\nthe MIT License."), (11, "Some heading\nAll rights reserved\nmore"), (12, "We say all rights reserved.\nNot all rights\nreserved here"), (13, None), (14, ""), (15, "Copyright 2020 X; all\rrights reserved"),
+    ]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.n_licenses) for r in licenses.scanned(frame(spark, rows), wrapped=True).collect()}
+    assert got == {
+        1: ("CFGH", "MIT", 1), 2: ("CFGH", "MIT", 1), 3: ("CXRST", "Proprietary,BSD-2-Clause", 2), 4: ("KLM", "GPL-3.0-or-later", 1), 5: ("KLM", "GPL-3.0-or-later", 1), 6: ("KLN", "GPL-2.0-or-later", 1), 7: ("W", "MPL-2.0", 1), 8: ("V", "ISC", 1),
+        9: ("E", "MIT", 1), 10: ("", "", 0), 11: ("X", "Proprietary", 1), 12: ("", "", 0), 13: ("", "", 0), 14: ("", "", 0), 15: ("CX", "Proprietary", 1),
+    }
+    assert licenses.scanned(empty, wrapped=True).count() == 0
+
+
+def test_licence_query_reads_wrapped_notices(spark, tmp_path):
+    frame(spark, [(1, MIT_NOTICE), (2, GPL_NOTICE)]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.licenses) for r in licenses.scanned_documents(spark, str(tmp_path)).collect()} == {(1, "MIT"), (2, "GPL-3.0-or-later")}
+
+
 # ---- 10 ----
 
 
