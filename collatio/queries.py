@@ -336,8 +336,9 @@ def formatting_changes(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity / 4, 1) AS size, l_suppkey % 32 & 16 = 16 AS bold, l_suppkey % 32 & 2 = 2 AS italic, false AS underline, printf('%06X', CAST(l_partkey * 7919 % 16777216 AS BIGINT)) AS color FROM (SELECT *, CAST(l_suppkey AS BIGINT) AS s FROM lineitem) WHERE CAST(l_quantity * 5 AS BIGINT) % 2 = 0")
 def span_formats(spark, sf_dir):
-    spans = read(spark, sf_dir, "lineitem").where("cast(l_quantity * 5 as bigint) % 2 = 0").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4).cast("double").alias("size"), (F.col("l_suppkey") % 32).cast("int").alias("flags"), (F.col("l_partkey") * 7919 % 16777216).cast("long").alias("color"))
-    return formatting.span_formats(spans.withColumn("size", F.round("size", 1)))
+    """All of lineitem as spans; odd quantities give sizes at rounding ties. The SQL looks only at even quantities."""
+    spans = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4).cast("double").alias("size"), (F.col("l_suppkey") % 32).cast("int").alias("flags"), (F.col("l_partkey") * 7919 % 16777216).cast("long").alias("color"))
+    return formatting.span_formats(spans)
 
 
 # ---- pages -----------------------------------------------------------------------------------------
