@@ -383,8 +383,9 @@ def merge_boxes(spark, sf_dir):
 @query("""WITH o AS (SELECT l_orderkey AS k, l_linenumber AS p FROM lineitem WHERE l_quantity > 10), m AS (SELECT l_orderkey AS k, l_linenumber AS p FROM lineitem WHERE l_quantity < 40)
 SELECT coalesce(o.k, m.k) AS pair_id, CAST(coalesce(o.p, m.p) AS INTEGER) AS page, CASE WHEN m.k IS NULL THEN 'only_in_original' WHEN o.k IS NULL THEN 'only_in_modified' ELSE 'compared' END AS status FROM (SELECT * FROM o WHERE p <= 5) o FULL JOIN (SELECT * FROM m WHERE p <= 5) m ON o.k = m.k AND o.p = m.p""")
 def page_pairing(spark, sf_dir):
+    """Pages of both sides up to the limit of the page diff. The SQL ends at page 5."""
     p = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").cast("int").alias("page"), "l_quantity")
-    both = raster.paired_pages(p.where("l_quantity > 10"), p.where("l_quantity < 40"), most=5)
+    both = raster.paired_pages(p.where("l_quantity > 10"), p.where("l_quantity < 40"))
     status = F.when(F.col("m").isNull(), "only_in_original").when(F.col("o").isNull(), "only_in_modified").otherwise("compared")
     return both.select("pair_id", "page", status.alias("status"))
 
