@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,30 @@ SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u2
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
+def _word_class() -> str:
+    """The characters of Python's ``\\w`` as a Java regex class; halves are intersected with their bounds, so that a character meets few ranges."""
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if c == ord("_") or chr(c).isalnum():
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    span = lambda a, b: rf"\x{{{a:X}}}-\x{{{b:X}}}"
+
+    def half(some: list[list[int]]) -> str:
+        if len(some) <= 8:
+            return "".join(span(a, b) for a, b in some)
+        m = len(some) // 2
+        return "".join(f"[[{span(x[0][0], x[-1][1])}]&&[{half(x)}]]" for x in (some[:m], some[m:]))
+
+    return f"[{half(ranges)}]"
+
+
+#: Java's own ``\\w`` takes combining marks and leaves numbers such as fractions out.
+WORD = _word_class()
+
+
 def tokens(text: Column) -> Column:
     """Runs of non-space and runs of space, in order; joined they give the text back."""
     return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+|[{SPACE}]+"), F.lit(0))

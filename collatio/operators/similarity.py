@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD
+
 #: Most rows and queries, about, that meet in a task of ``nearest``.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
-TERM = r"(?U)\b\w\w+\b"
+#: Python's ``\\b\\w\\w+\\b``, which matching uses on texts in a task.
+TERM = WORD + "{2,}"
 
 
 def terms(text: Column) -> Column:

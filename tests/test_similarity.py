@@ -1,10 +1,13 @@
 import math
 import random
+import re
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from collatio import queries
-from collatio.operators import similarity
+from collatio.operators import matching, similarity
 
 SCHEMA = "vec_id long, embedding array<float>, label string"
 
@@ -48,3 +51,22 @@ def test_vector_query_looks_at_all_labels(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = queries.vector_cosine_topk(spark, str(tmp_path)).collect()
     assert {(r.query_id, r.vec_id, r.sim, r["rank"]) for r in got} == plain(rows)
+
+
+def test_terms_are_those_of_python(spark):
+    every = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c}{c} a{c}b" for c in every[i : i + 5000]) for i in range(0, len(every), 5000)]
+    texts += ["हिन्दी x½ cafe\u0301s", "", "a b cd", "x" * 50_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(similarity.TERM), F.lit(0)).alias("w")).collect()
+    assert all(r.w == re.findall(r"\b\w\w+\b", texts[r.i]) for r in got) and len(got) == len(texts)
+
+
+def test_both_paths_agree_beyond_ascii(spark, monkeypatch):
+    o = "हिन्दी भाषा x½ cafe\u0301s\nje\u0301 suis cafe\u0301 ½½ deux\nthree words stay\nटेक्स्ट एक ¾x"
+    m = "cafe\u0301 deux suis x½\nभाषा हिन्दी cafe\nthree words\nएक टेक्स्ट ¾x ¼y\ncafes je"
+    pairs = spark.createDataFrame([(1, o, m)], "pair_id long, original string, modified string")
+    seen = lambda df: sorted((r.pos, r.type, r.original, r.modified, r.similarity, r.confidence) for r in df.collect())
+    key = lambda rows: [tuple(map(str, r)) for r in rows]
+    small = seen(matching.semantic_matches(pairs))
+    monkeypatch.setattr(matching, "LOCAL_CELLS", 0)
+    assert key(seen(matching.semantic_matches(pairs))) == key(small) and any(r[4] and 0 < r[4] < 1 for r in small)
