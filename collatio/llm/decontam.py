@@ -54,13 +54,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     A window has as many words as an item (the whole text if that is shorter). Similarity is the weighted Jaccard similarity of the
     five-word shingles of window and item, counted with repeats and weighted by characters; 0.8 or more counts. Items of fewer words are one shingle.
-    Only windows that share a shingle with the benchmark at the same place can be similar, so only these are fingerprinted; all words are looked at.
+    Only windows whose runs that stand in an item weigh as much as the threshold's part of it can be similar, so only these are fingerprinted, wherever they start; all words are looked at.
     Null and empty texts and items match nothing; ties go to the first place; repeated rows match alike; repeated items too.
     """
     items = benchmark.select(F.col("item_id"), words_of(text_or_empty()).alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
     items = items.withColumn("k", F.least(F.lit(WORDS), F.col("n"))).withColumn("sh", shingles_of("w", "k")).withColumn("print", simhash("sh"))
     items = written(items.select("item_id", "n", "k", "sh", "print"), "items")
-    places = items.select("n", "k", F.posexplode("sh").alias("q", "s")).select("n", "k", "q", F.xxhash64("s").alias("h")).distinct()
+    total = F.expr("aggregate(sh, 0L, (a, s) -> a + char_length(s))")
+    places = items.select(F.xxhash64("n", "sh").alias("item"), "n", "k", total.alias("total"), F.explode("sh").alias("s")).select("item", "n", "k", "total", F.xxhash64("s").alias("h"), F.char_length("s").alias("c")).distinct()
     if places.count() <= BROADCAST_SHINGLES:  # 32 bytes each
         places = F.broadcast(places)
     rid = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
@@ -69,9 +70,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     windows = None
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most WORDS values
         runs = parts.where(F.col("m") >= k).select("rid", "m", F.posexplode(F.expr(f"transform(sequence(1, m - {k - 1}), i -> xxhash64(array_join(slice(w, i, {k}), ' ')))")).alias("p", "h"))
-        seeds = runs.join(places.where(F.col("k") == k).select("n", "q", "h"), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
-        seeds = seeds.select("rid", F.struct(start.alias("start"), "n").alias("win"))
+        seeds = runs.join(places.where(F.col("k") == k).drop("k"), "h")
+        # A window that starts in part b of a text (n places) ends in part b + 1 at most.
+        part = F.explode(F.expr("IF(p < n, array(0L), array(cast(p div n AS long), cast(p div n AS long) - 1))")).alias("b")
+        seeds = seeds.select("rid", "item", "m", "n", "total", F.struct("p", "c").alias("seed"), part).groupBy("rid", "item", "m", "n", "total", "b")
+        seeds = seeds.agg(F.sum("seed.c").alias("most"), F.collect_list("seed").alias("seeds")).where(F.col("most") >= threshold * F.col("total") - 1e-6).where("b * n <= greatest(0, m - n)")
+        starts = "sequence(cast(b * n AS int), cast(least((b + 1) * n - 1, greatest(0, m - n)) AS int))"
+        weight = f"aggregate(seeds, 0L, (a, x) -> a + IF(x.p BETWEEN s AND s + n - {k}, x.c, 0))"
+        seeds = seeds.select("rid", "n", F.explode(F.expr(f"filter({starts}, s -> {weight} >= {threshold} * total - 1e-6)")).alias("start"))
+        seeds = seeds.select("rid", F.struct("start", "n").alias("win"))
         windows = seeds if windows is None else windows.union(seeds)
     if windows is None:
         return own.limit(0).select("doc_id", "rid", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))

@@ -357,6 +357,25 @@ def test_contamination(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_best_window_between_seeded_starts(spark):
+    """Texts whose best window is at the threshold though no window at a shared shingle's own place is."""
+    rnd, rows, items = random.Random(4), [], []
+    while len(rows) < 4:
+        q = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(1, 19))) for _ in range(rnd.randrange(30, 61))]
+        new = lambda n: ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(1, 19))) for _ in range(n)]
+        at, n = rnd.randrange(5, len(q) - 5), rnd.randrange(2, 5)
+        w = new(20) + (q[:at] + new(n) + q[at:] if rnd.random() < 0.5 else q[:at] + q[at + n :]) + new(20)
+        best = {s: weighted(w[s : s + len(q)], q) for s in range(len(w) - len(q) + 1)}
+        at_item = {tuple(q[j : j + 5]): j for j in range(len(q) - 4)}
+        seeded = {p - at_item[tuple(w[p : p + 5])] for p in range(len(w) - 4) if tuple(w[p : p + 5]) in at_item}
+        if max(best.values()) >= 0.8 > max(best[min(max(s, 0), len(w) - len(q))] for s in seeded):
+            rows.append((len(rows), " ".join(w)))
+            items.append((len(items), " ".join(q)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(i, i) for i in range(4)}
+
+
 # ---- 9 ----
 
 
