@@ -14,6 +14,7 @@ from .summary import PAGE_DIFFERS, with_summary
 
 ONE_SIDED_TABLES = "Table structure comparison was skipped because only one of these documents has spreadsheet-like tables — showing text comparison only."
 ONE_SIDED_FORMATS = "Formatting (font/style) comparison was skipped because it's only supported for DOCX and PDF, and only one of these documents is one of those formats."
+NO_SPANS = "Formatting (font/style) comparison could not be completed because the fonts of PDF files cannot be read here."
 NO_RENDERER = "Visual page comparison could not be completed for these documents."
 
 
@@ -57,6 +58,7 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
             F.array(
                 F.when((F.size("o.tables") > 0) != (F.size("m.tables") > 0), ONE_SIDED_TABLES), F.when(fits("o.format") & fits("m.format") & F.col("visual_diff").isNull(), NO_RENDERER),
                 F.when(fits("o.format") != fits("m.format"), ONE_SIDED_FORMATS),
+                F.when(fits("o.format") & fits("m.format") & F.col("formatting_diff").isNull(), NO_SPANS),
             ),
         ), lambda w: w.isNotNull(),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from collatio.functions import geometry, labels
 from collatio.operators import formatting, raster, tables
-from collatio.plans.compare import compare_files, compare_texts, summarized
+from collatio.plans.compare import NO_SPANS, compare_files, compare_texts, summarized
 from collatio.sources import detect, parsers, storage
 from collatio.streaming.files import arriving
 
@@ -216,6 +216,15 @@ def test_compare_files(spark):
     res.unpersist()
 
 
+def test_pdf_pairs_are_warned_of_their_missing_formats(spark):
+    pdf = b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >> stream\n" + zlib.compress(b"BT (Some words of a text layer) Tj ET") + b"\nendstream"
+    word = docx([("Title", "")])
+    schema = "pair_id long, original_name string, original_content binary, modified_name string, modified_content binary"
+    rows = [(1, "a.pdf", pdf, "b.pdf", pdf), (2, "a.pdf", pdf, "b.docx", word), (3, "a.docx", word, "b.docx", word), (4, "a.pdf", pdf, "b.txt", b"x")]
+    got = {r.pair_id: (r.formatting_diff is None, NO_SPANS in r.warnings) for r in compare_files(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (True, True), 2: (True, True), 3: (False, False), 4: (True, False)}
+
+
 def test_compare_texts(spark):
     df = spark.createDataFrame([(1, "", ""), (2, "x" * 100_001, "y"), (3, "", "Freshly added content.")], "pair_id long, original string, modified string")
     got = {r.pair_id: r for r in compare_texts(df).collect()}
