@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where it names none."""
+    """The folder that driver and executors share, as the session names it. Only a local master, whose executors are the driver, gets a temporary one where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="collatio-")
-        if not jdir.isDefined():
+        if jdir.isDefined():
+            found = jdir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="collatio-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -55,6 +59,16 @@ def sampled(df: DataFrame, n: int, seed: int, *cols: str) -> DataFrame:
     return few.orderBy("__h", *cols).limit(n).drop("__h")
 
 
+#: The columns that tell rows apart: 128 bits of id and text, so that no two rows of any corpus share them by chance. Only repeated rows do.
+ROW = ["rid", "rid2"]
+
+
+def row_ids() -> list:
+    """ROW from doc_id and text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(F.lit(3), F.col("doc_id"), text).alias("rid"), F.xxhash64(F.lit(11), text, F.col("doc_id")).alias("rid2")]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import ROW, row_ids, table, text_or_empty, written
 
 WORDS, THRESHOLD = 5, 0.8
-#: Sets at the threshold lie at a cosine of 8/9, so 64 bits differ in 9.7 places on average, in more than 20 with probability 3e-4.
-RADIUS, BITS = 20, 64
-BROADCAST_SHINGLES = 1_000_000
+#: Sets at the threshold lie at a cosine of 8/9, so 64 bits differ in 9.7 places on average, in more than 24 with probability 3e-6.
+RADIUS, BITS = 24, 64
+#: Largest tables that are broadcast, in rows of about 40 bytes; larger ones are joined by a shuffle.
+BROADCAST_SHINGLES, BROADCAST_WINDOWS = 1_000_000, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -18,115 +21,149 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def run_hashes(hashes: str, k: int) -> Column:
+    """The run of k words at each word as a hash of the words' hashes; the last k - 1 runs are too short and of no use."""
+    following = "".join(f", get({hashes}, i + {j})" for j in range(1, k))
+    return F.expr(f"transform({hashes}, (x, i) -> xxhash64(x{following}))")
+
+
 def shingles_of(words: str, k: str) -> Column:
-    """The runs of k words of an array column, joined by blanks; a shorter array is one run, an empty one has none."""
-    return F.expr(
-        f"CASE WHEN size({words}) = 0 THEN cast(array() AS array<string>) WHEN size({words}) <= {k} THEN array(array_join({words}, ' ')) "
-        f"ELSE transform(sequence(1, size({words}) - {k} + 1), i -> array_join(slice({words}, i, {k}), ' ')) END"
-    )
+    """The runs of k words of an array, joined by blanks; a shorter array has none."""
+    return F.expr(f"IF(size({words}) < {k}, cast(array() AS array<string>), transform(sequence(1, greatest(size({words}) - {k}, 0) + 1), i -> array_join(slice({words}, i, {k}), ' ')))")
+
+
+def numbered(shingles: str) -> Column:
+    """Sorted shingles with the number of their occurrence as a last word, so that such sets compare as the multisets do."""
+    return F.expr(f"transform(array_sort({shingles}), (s, i) -> concat(s, ' ', i + 1 - array_position(array_sort({shingles}), s)))")
+
+
+def characters(shingles: str, last_word: bool = False) -> str:
+    """The characters of all shingles, without the last words of numbered ones."""
+    less = " - char_length(substring_index(s, ' ', -1)) - 1" if last_word else ""
+    return f"aggregate({shingles}, 0L, (a, s) -> a + char_length(s){less})"
+
+
+def simhash(shingles: str, total: str) -> Column:
+    """64-bit SimHash of an array of shingles, each weighted by its characters, of which there are ``total`` (below 2**31).
+
+    A number holds two of the 64 sums in its halves: bits i and i + 32 of a shingle's hash, times its weight.
+    """
+    pairs = f"transform({shingles}, s -> named_struct('h', xxhash64(s), 'c', cast(char_length(s) AS bigint)))"
+    sums = f"aggregate({pairs}, array_repeat(0L, 32), (a, x) -> transform(a, (v, i) -> v + (shiftright(x.h, i) & 4294967297L) * x.c))"
+    bits = f"IF(2 * (v & 4294967295L) > {total}, shiftleft(1L, i), 0L) | IF(2 * shiftrightunsigned(v, 32) > {total}, shiftleft(1L, i + 32), 0L)"
+    return F.expr(f"aggregate(transform({sums}, (v, i) -> {bits}), 0L, (f, x) -> f | x)")
 
 
-def simhash(shingles: str) -> Column:
-    """64-bit SimHash of an array of shingles, each weighted by its characters."""
-    sums = (
-        f"aggregate({shingles}, array_repeat(0L, {BITS}), (a, s) -> transform(zip_with(a, transform(sequence(0, {BITS - 1}), b -> shiftright(xxhash64(s), b) & 1L), "
-        f"(v, bit) -> named_struct('v', v, 'bit', bit)), x -> x.v + IF(x.bit = 1L, 1L, -1L) * char_length(s)))"
-    )
-    return F.expr(f"aggregate(zip_with({sums}, sequence(0, {BITS - 1}), (v, b) -> IF(v > 0, shiftleft(1L, b), 0L)), 0L, (f, x) -> f | x)")
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """First bit and bit after the last of radius + 1 blocks of a fingerprint."""
+    cut = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    return list(zip(cut, cut[1:]))
 
 
 def blocks(fingerprint: str, radius: int = RADIUS) -> Column:
-    """radius + 1 blocks of the fingerprint, with their numbers: fingerprints within the radius agree in one of them at least."""
-    n = radius + 1
-    cut = [BITS * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
+    """Numbered blocks of a fingerprint, one more than the radius: fingerprints within it agree in one of them at least."""
+    return F.array(*[F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << 32) for i, (a, b) in enumerate(_cuts(radius))])
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles: counts times characters."""
-    times = lambda x: f"size(filter({x}, y -> y = s)) * char_length(s)"
-    both = f"aggregate(array_distinct(array_union({a}, {b})), named_struct('lo', 0L, 'hi', 0L), (t, s) -> named_struct('lo', t.lo + least({times(a)}, {times(b)}), 'hi', t.hi + greatest({times(a)}, {times(b)})), t -> t.lo / greatest(t.hi, 1L))"
-    return F.expr(both)
+def _first_block(radius: int) -> Column:
+    """Whether block ``b`` is the first in which the two fingerprints agree: a pair that agrees in several counts once."""
+    cases = " ".join(f"WHEN (shiftrightunsigned(print ^ item_print, {a}) & {(1 << (b - a)) - 1}L) = 0 THEN {i}" for i, (a, b) in enumerate(_cuts(radius)))
+    return F.expr(f"shiftright(b, 32) = CASE {cases} END")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, rid, item_id, start_word, n_words, similarity) for each row of docs and each benchmark item that stands in it, at its best place.
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item, n, k, sh, nsh, total, print): items with equal words share the key ``item``."""
+    items = benchmark.select("item_id", words_of(text_or_empty()).alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
+    items = items.withColumn("k", F.least(F.lit(WORDS), F.col("n"))).withColumn("sh", shingles_of("w", "k")).withColumn("total", F.expr(characters("sh")))
+    items = items.select("item_id", F.xxhash64("w").alias("item"), "w", "n", "k", "sh", numbered("sh").alias("nsh"), "total", simhash("sh", "total").alias("print"))
+    return written(items, "items")
 
-    A window has as many words as an item (the whole text if that is shorter). Similarity is the weighted Jaccard similarity of the
-    five-word shingles of window and item, counted with repeats and weighted by characters; 0.8 or more counts. Items of fewer words are one shingle.
-    Only windows whose runs that stand in an item weigh as much as the threshold's part of it can be similar, so only these are fingerprinted, wherever they start; all words are looked at.
-    Null and empty texts and items match nothing; ties go to the first place; repeated rows match alike; repeated items too.
+
+def _windows(own: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
+    """(ROW, item, n, k, total, start, most): every window of an item's size in which the item's runs weigh ``most``, at least the threshold's part of the item.
+
+    No other window can be similar: what it shares with the item is at most ``most``. Runs are compared by hashes, which only select.
     """
-    items = benchmark.select(F.col("item_id"), words_of(text_or_empty()).alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
-    items = items.withColumn("k", F.least(F.lit(WORDS), F.col("n"))).withColumn("sh", shingles_of("w", "k")).withColumn("print", simhash("sh"))
-    items = written(items.select("item_id", "n", "k", "sh", "print"), "items")
-    total = F.expr("aggregate(sh, 0L, (a, s) -> a + char_length(s))")
-    places = items.select(F.xxhash64("n", "sh").alias("item"), "n", "k", total.alias("total"), F.explode("sh").alias("s")).select("item", "n", "k", "total", F.xxhash64("s").alias("h"), F.char_length("s").alias("c")).distinct()
-    if places.count() <= BROADCAST_SHINGLES:  # 32 bytes each
-        places = F.broadcast(places)
-    rid = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", rid.alias("rid"))
-    parts = own.select("rid", words_of(text_or_empty()).alias("w")).withColumn("m", F.size("w"))
-    windows = None
+    words = own.select(*ROW, words_of(text_or_empty()).alias("w")).select(*ROW, F.size("w").alias("m"), F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
+    found = []
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most WORDS values
-        runs = parts.where(F.col("m") >= k).select("rid", "m", F.posexplode(F.expr(f"transform(sequence(1, m - {k - 1}), i -> xxhash64(array_join(slice(w, i, {k}), ' ')))")).alias("p", "h"))
-        seeds = runs.join(places.where(F.col("k") == k).drop("k"), "h")
+        places = items.where(F.col("k") == k).select("item", "n", "total", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"), "sh")
+        places = places.select("item", "n", "total", F.explode(F.arrays_zip(F.slice(run_hashes("wh", k), F.lit(1), F.size("sh")).alias("h"), F.transform("sh", lambda s: F.char_length(s)).alias("c"))).alias("x"))
+        places = places.select("item", "n", "total", "x.h", "x.c").distinct()
+        if places.count() <= BROADCAST_SHINGLES:
+            places = F.broadcast(places)
+        runs = words.where(F.col("m") >= k).select(*ROW, "m", F.posexplode(run_hashes("wh", k)).alias("p", "h")).where(F.col("p") <= F.col("m") - k)
+        seeds = runs.join(places, "h")
         # A window that starts in part b of a text (n places) ends in part b + 1 at most.
         part = F.explode(F.expr("IF(p < n, array(0L), array(cast(p div n AS long), cast(p div n AS long) - 1))")).alias("b")
-        seeds = seeds.select("rid", "item", "m", "n", "total", F.struct("p", "c").alias("seed"), part).groupBy("rid", "item", "m", "n", "total", "b")
+        keys = [*ROW, "item", "m", "n", "total", "b"]
+        seeds = seeds.select(*keys[:-1], F.struct("p", "c").alias("seed"), part).groupBy(*keys)
         seeds = seeds.agg(F.sum("seed.c").alias("most"), F.collect_list("seed").alias("seeds")).where(F.col("most") >= threshold * F.col("total") - 1e-6).where("b * n <= greatest(0, m - n)")
         starts = "sequence(cast(b * n AS int), cast(least((b + 1) * n - 1, greatest(0, m - n)) AS int))"
-        weight = f"aggregate(seeds, 0L, (a, x) -> a + IF(x.p BETWEEN s AND s + n - {k}, x.c, 0))"
-        seeds = seeds.select("rid", "n", F.explode(F.expr(f"filter({starts}, s -> {weight} >= {threshold} * total - 1e-6)")).alias("start"))
-        seeds = seeds.select("rid", F.struct("start", "n").alias("win"))
-        windows = seeds if windows is None else windows.union(seeds)
+        weighed = f"transform({starts}, s -> named_struct('start', s, 'most', aggregate(seeds, 0L, (a, x) -> a + IF(x.p BETWEEN s AND s + n - {k}, x.c, 0))))"
+        seeds = seeds.select(*ROW, "item", "n", "total", F.inline(F.expr(f"filter({weighed}, x -> x.most >= {threshold} * total - 1e-6)")))
+        found.append(seeds.select(*ROW, "item", "n", F.lit(k).alias("k"), "total", "start", "most"))
+    return reduce(DataFrame.union, found) if found else None
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, rid, rid2, item_id, start_word, n_words, similarity) for each row of docs and each benchmark item that stands in it, at its best place.
+
+    A window has as many words as an item (the whole text if that is shorter) and may start at every word. Similarity is the weighted Jaccard similarity of the
+    five-word shingles of window and item, counted with repeats and weighted by characters; 0.8 or more counts. Items of fewer words are one shingle.
+    Only windows that share so much with an item that they can be similar are fingerprinted; this loses none, and all words are looked at. A pair
+    at the threshold has fingerprints beyond the radius with probability 3e-6. Null and empty texts and items match nothing; ties go to the first
+    place; repeated rows match alike and are returned once; repeated items all match. rid and rid2 tell rows apart.
+    """
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids())
+    items = _items(benchmark)
+    windows = _windows(own, items, threshold)
     if windows is None:
-        return own.limit(0).select("doc_id", "rid", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    windows = windows.groupBy("rid").agg(F.collect_set("win").alias("wins"))  # no more than a text has places
-    texts = own.join(windows, "rid").select("doc_id", "rid", words_of(F.col("text")).alias("w"), "wins")
-    cut = texts.select("doc_id", "rid", F.explode(F.expr("transform(wins, x -> named_struct('start', x.start, 'n', x.n, 'w', slice(w, x.start + 1, x.n)))")).alias("x"))
-    cut = cut.select("doc_id", "rid", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.col("x.w").alias("w"))
-    cut = cut.withColumn("sh", shingles_of("w", f"least({WORDS}, n)")).withColumn("print", simhash("sh"))
-    cut = cut.select("doc_id", "rid", "start", "n", F.size("w").alias("n_words"), "sh", "print").withColumn("b", F.explode(blocks("print", radius)))
-    sought = items.select("item_id", "n", F.col("sh").alias("item_sh"), F.col("print").alias("item_print")).withColumn("b", F.explode(blocks("item_print", radius)))
-    near = cut.join(sought, ["n", "b"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.where(F.expr(_first_block(radius)))
-    near = near.withColumn("similarity", weighted_similarity("sh", "item_sh")).where(F.col("similarity") >= threshold)
-    best = near.groupBy("doc_id", "rid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("x"))
-    return best.select("doc_id", "rid", "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
-
-
-def _first_block(radius: int) -> str:
-    """A pair that agrees in several blocks is taken at the first of them."""
-    n = radius + 1
-    cut = [BITS * i // n for i in range(n + 1)]
-    cases = " ".join(f"WHEN (shiftrightunsigned(print ^ item_print, {a}) & {(1 << (b - a)) - 1}L) = 0 THEN {i}" for i, (a, b) in enumerate(zip(cut, cut[1:])))
-    return f"b.i = CASE {cases} END"
+        return own.limit(0).select("doc_id", *ROW, F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
+    windows = written(windows, "windows")
+    few = windows.count() <= BROADCAST_WINDOWS
+    windows = windows.groupBy(*ROW).agg(F.collect_list(F.struct("item", "n", "k", "total", "start", "most")).alias("wins"))
+    texts = own.join(F.broadcast(windows) if few else windows, ROW).select("doc_id", *ROW, words_of(F.col("text")).alias("w"), "wins")
+    cut = texts.select("doc_id", *ROW, F.inline(F.expr("transform(wins, x -> named_struct('item', x.item, 'k', x.k, 'total', x.total, 'start', x.start, 'most', x.most, 'w', slice(w, x.start + 1, x.n)))")))
+    cut = cut.select("doc_id", *ROW, "item", "total", "start", "most", F.size("w").alias("n_words"), shingles_of("w", "k").alias("sh")).withColumn("own", F.expr(characters("sh")))
+    cut = cut.where(F.col("most") * (1 + threshold) >= threshold * (F.col("total") + F.col("own")) - 1e-6)
+    cut = cut.select("doc_id", *ROW, "item", "start", "n_words", "sh", "own", simhash("sh", "own").alias("print"))
+    sought = items.dropDuplicates(["item"]).select("item", "nsh", "total", F.col("print").alias("item_print")).withColumn("b", F.explode(blocks("item_print", radius)))
+    near = cut.withColumn("b", F.explode(blocks("print", radius))).join(sought, ["item", "b"])
+    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).where(_first_block(radius))
+    both = F.expr(characters("array_intersect(nsh, own_nsh)", last_word=True))
+    near = near.withColumn("own_nsh", numbered("sh")).withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.col("own") + F.col("total") - F.col("both"), F.lit(1)))
+    best = near.where(F.col("similarity") >= threshold).groupBy("doc_id", *ROW, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("x"))
+    return best.join(items.select("item", "item_id").distinct(), "item").select("doc_id", *ROW, "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item stands."""
-    found = contaminated(docs, benchmark).select(F.col("rid").alias("__rid")).distinct()
-    return docs.withColumn("__rid", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text").cast("string"))).join(found, "__rid", "left_anti").drop("__rid")
+    """The rows of docs in which no benchmark item stands. The rows found are broadcast if they are few, so that no text is shuffled."""
+    found = written(contaminated(docs, benchmark).select(*ROW).distinct(), "found")
+    if found.count() <= BROADCAST_WINDOWS:
+        found = F.broadcast(found)
+    names = [f"__{c}" for c in ROW]
+    marked = docs.withColumns(dict(zip(names, row_ids())))
+    return marked.join(found.toDF(*names), names, "left_anti").select(docs.columns)
 
 
 def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that stands in it."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(*ROW)
 
 
+#: Every window between the first and the last place where a document and an item share a run; windows elsewhere share nothing.
 CONTAMINATED_SQL = r"""
 WITH items AS (SELECT item_id, ws, len(ws) AS n, least(5, len(ws)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
-ig AS (SELECT item_id, n, k, i - 1 AS q, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM items)),
+ig AS (SELECT item_id, n, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM items)),
+ic AS (SELECT item_id, n, k, s, count(*) AS c FROM ig GROUP BY ALL),
+it AS (SELECT item_id, sum(c * length(s)) AS total FROM ic GROUP BY ALL),
 docs AS (SELECT doc_id, ws, len(ws) AS m FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
 dg AS (SELECT doc_id, m, k, i - 1 AS p, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items) WHERE m >= k)),
-wins AS (SELECT DISTINCT doc_id, m, n, k, greatest(0, least(p - q, m - n)) AS start FROM dg JOIN ig USING (k, s)),
-wg AS (SELECT doc_id, m, n, start, s, count(*) AS c FROM wins JOIN dg USING (doc_id, m, k) WHERE p BETWEEN start AND start + least(n, m) - k GROUP BY ALL),
-wt AS (SELECT doc_id, n, start, sum(c * length(s)) AS total FROM wg GROUP BY ALL),
-ic AS (SELECT item_id, n, s, count(*) AS c FROM ig GROUP BY ALL),
-it AS (SELECT item_id, n, sum(c * length(s)) AS total FROM ic GROUP BY ALL),
-inter AS (SELECT doc_id, m, n, start, item_id, sum(least(wg.c, ic.c) * length(s)) AS lo FROM wg JOIN ic USING (n, s) GROUP BY ALL),
-sims AS (SELECT doc_id, item_id, start, least(n, m) AS n_words, lo, wt.total + it.total - lo AS hi FROM inter JOIN wt USING (doc_id, n, start) JOIN it USING (item_id, n)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY lo / hi DESC, start) AS r FROM sims WHERE 10 * lo >= 8 * hi)
+pairs AS (SELECT doc_id, m, item_id, n, k, min(p) AS first, max(p) AS last FROM dg JOIN ic USING (k, s) GROUP BY ALL),
+starts AS (SELECT doc_id, m, item_id, n, k, unnest(range(greatest(0, least(first - n + k, m - n)), least(last, greatest(0, m - n)) + 1)) AS start FROM pairs),
+wg AS (SELECT doc_id, item_id, n, m, k, start, s, count(*) AS c FROM starts JOIN dg USING (doc_id, m, k) WHERE p BETWEEN start AND start + least(n, m) - k GROUP BY ALL),
+sims AS (SELECT doc_id, item_id, start, least(n, m) AS n_words, sum(least(wg.c, coalesce(ic.c, 0)) * length(s)) AS lo, sum(wg.c * length(s)) AS own FROM wg LEFT JOIN ic USING (item_id, n, k, s) GROUP BY ALL),
+best AS (SELECT *, total + own - lo AS hi, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY lo / (total + own - lo) DESC, start) AS r FROM sims JOIN it USING (item_id) WHERE 10 * lo >= 8 * (total + own - lo))
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words, CAST(lo AS DOUBLE) / CAST(hi AS DOUBLE) AS similarity FROM best WHERE r = 1
 """

@@ -376,6 +376,72 @@ def test_best_window_between_seeded_starts(spark):
     assert got == {(i, i) for i in range(4)}
 
 
+def test_reordered_items_are_found(spark):
+    """Items with their halves or sentences swapped inside a longer text: no run keeps its own place, the best window is found all the same."""
+    rnd, v = random.Random(8), vocabulary()
+    make = lambda n: [rnd.choice(v) for _ in range(n)]
+    items = [make(60) for _ in range(12)]
+    rows = []
+    for i, q in enumerate(items):
+        at = 20 + i
+        rows.append((i, " ".join(make(15) + q[at:] + q[:at] + make(25))))
+        rows.append((100 + i, " ".join(make(15) + q[40:] + q[20:40] + q[:20] + make(25))))
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    for d, t in rows:
+        w = t.split()
+        for i, q in enumerate(items):
+            sims = [weighted(w[s : s + 60], q) for s in range(len(w) - 59)]
+            assert ((d, i) in got) == (max(sims) >= 0.8)
+            if (d, i) in got:
+                assert (got[d, i].similarity, got[d, i].start_word) == (pytest.approx(max(sims)), sims.index(max(sims)))
+    assert sum(d < 100 for d, _ in got) >= 10
+
+
+def test_recall_near_the_threshold(spark):
+    """Texts whose best window lies between 0.8 and 0.85: the fingerprints' radius loses none of some hundred."""
+    rnd, v = random.Random(10), vocabulary()
+    items, rows, want = [], [], 0
+    while want < 150:
+        q = [rnd.choice(v) for _ in range(rnd.randrange(20, 60))]
+        w = list(q)
+        for _ in range(rnd.randrange(1, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(v)
+        if 0.8 <= weighted(w, q) < 0.85:
+            rows.append((want, " ".join(w)))
+            items.append((want, " ".join(q)))
+            want += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()} >= {(i, i) for i in range(want)}
+
+
+def test_fingerprint_is_the_weighted_simhash(spark):
+    rnd, v = random.Random(11), vocabulary()
+    rows = [(i, [" ".join(rnd.choice(v) for _ in range(3)) for _ in range(rnd.randrange(1, 30))]) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, sh array<string>").withColumn("total", F.expr(decontam.characters("sh")))
+    got = df.select("sh", F.expr("transform(sh, s -> xxhash64(s))").alias("h"), decontam.simhash("sh", "total").alias("f"), F.size(F.array_distinct(decontam.blocks("f"))).alias("n")).collect()
+    for r in got:
+        sums = [sum(len(s) if h >> b & 1 else -len(s) for s, h in zip(r.sh, r.h)) for b in range(64)]
+        assert r.f & (1 << 64) - 1 == sum(1 << b for b in range(64) if sums[b] > 0) and r.n == decontam.RADIUS + 1
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination_with_and_without_broadcasts(spark, monkeypatch, limit):
+    """Very long texts, ids that repeat, clashing columns, and both join plans."""
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", limit)
+    rnd, v = random.Random(12), vocabulary()
+    make = lambda n: [rnd.choice(v) for _ in range(n)]
+    item = make(40)
+    rows = [(1, " ".join(make(30_000) + item + make(30_000)), 7), (2, "la " * 5000, 7), (2, " ".join(make(50)), 7), (None, None, 7), (3, " ".join(item[:39]), 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int").withColumn("start", F.lit("s")).withColumn("item", F.lit(1))
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, "la " * 30)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {(1, 5, 30_000), (2, 6, 0), (3, 5, 0)}
+    kept = decontam.without_benchmark(df, bench)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.rid, r.start, r.item) for r in kept.collect()) == [(0, 7, "s", 1), (2, 7, "s", 1)]
+
+
 # ---- 9 ----
 
 
