@@ -9,12 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, table, word_hashes, written, _POWERS
+from .common import ROW, _POWERS, gram_hashes, mixed, row_ids, table, word_hashes, written
 
 LENGTH, GRAM = 35, 8
-#: Words of one shard's automaton, and most different contexts of one anchor that go to a shard.
-SHARD_WORDS, HOT_CONTEXTS = 60_000, 4_000
-#: Most words of a reference that is broadcast as a whole.
+#: Words of one shard's automaton, and most different contexts of one anchor that go to a shard as they are.
+SHARD_WORDS, SPLIT_CONTEXTS = 60_000, 1_000
+#: How many of a window's smallest hashes make the finer anchors of contexts that an anchor has too many of; at last the whole window does.
+FINER = (2, 5)
+#: Most rows, of some 20 bytes each, that are broadcast.
+BROADCAST_KEYS = 500_000
+#: A key is hot if it has so many rows, and more than this part of all; there are never more hot keys than parts.
+HOT_ROWS, HOT_PARTS, SALTS = 20_000, 50_000, 64
+#: Most words of a reference whose automata are broadcast; a larger one meets the documents in a shuffle.
 REFERENCE_WORDS = 2_000_000
 
 
@@ -106,11 +112,28 @@ def anchors(words: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         have += step
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[first, n])
+    return h[at[first]].view(np.int64), first, count, _digests(words, first, count)
+
+
+def _digests(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of the words under runs of windows."""
     up, down = _POWERS.get(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
-    digest = mixed((sums[first + count + length - 1] - sums[first]) * down[first] ^ (count.astype(np.uint64) << np.uint64(50)))
-    return h[at[first]].view(np.int64), first, count, digest.view(np.int64)
+    return mixed((sums[first + count + LENGTH - 1] - sums[first]) * down[first] ^ (count.astype(np.uint64) << np.uint64(50))).view(np.int64)
+
+
+def finer_anchors(words: np.ndarray, level: int):
+    """(anchor hash, first window, windows, context hash) as by ``anchors``, of more anchors: the FINER[level] smallest hashes of a window, or all in order beyond that."""
+    h = gram_hashes(words, GRAM)
+    rows = np.lib.stride_tricks.sliding_window_view(h, LENGTH - GRAM + 1)
+    rows = np.sort(rows, axis=1)[:, : FINER[level]] if level < len(FINER) else rows
+    key = np.full(len(rows), level + 1, np.uint64)
+    for column in rows.T:
+        key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + column)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(rows)])
+    return key[first].view(np.int64), first, count, _digests(words, first, count)
 
 
 def _shards(batches):
@@ -120,16 +143,16 @@ def _shards(batches):
         if not len(b):
             continue
         if size >= SHARD_WORDS and held:
-            fp = held[-1].fp.iloc[-1]
-            cut = int(np.searchsorted((b.fp.to_numpy() != fp).astype(int), 1)) if (b.fp == fp).any() else 0
+            key = held[-1].key.iloc[-1]
+            cut = int(np.searchsorted((b.key.to_numpy() != key).astype(int), 1)) if (b.key == key).any() else 0
             held.append(b.iloc[:cut])
             yield pd.concat(held)
             held, size, b = [], 0, b.iloc[cut:]
             if not len(b):
                 continue
         words = (b.nw + LENGTH - 1).to_numpy().cumsum()
-        fps, lo = b.fp.to_numpy(), 0
-        ends = np.flatnonzero(np.r_[fps[1:] != fps[:-1], False]) + 1  # places where another anchor begins
+        keys, lo = b.key.to_numpy(), 0
+        ends = np.flatnonzero(np.r_[keys[1:] != keys[:-1], False]) + 1  # places where another anchor begins
         for e in ends:
             if size + words[e - 1] - (words[lo - 1] if lo else 0) >= SHARD_WORDS:
                 yield pd.concat([*held, b.iloc[lo:e]])
@@ -140,47 +163,55 @@ def _shards(batches):
         yield pd.concat(held)
 
 
-def _matched(batches):
-    """(fp, digest, mask): which windows of a context occur twice or more, by a suffix automaton of each shard."""
-    for shard in _shards(batches):
-        ids: dict[str, int] = {}
-        contexts = [[ids.setdefault(w, len(ids)) for w in t.split(" ")] for t in shard.words]
-        auto = SuffixAutomaton()
-        for c, n in zip(contexts, shard.n):
-            auto.add(c, n)
-        auto.finish()
-        masks = []
-        for c in contexts:
-            mask = 0
-            for e, long in enumerate(auto.statistics(c, 2)):
-                if long >= LENGTH:
-                    mask |= 1 << (e - LENGTH + 1)
-            masks.append(mask)
-        yield pd.DataFrame({"fp": shard.fp.array, "digest": shard.digest.array, "mask": masks})
+def _matched(least: int):
+    """A function to (key, digest, mask): which windows of a context occur ``least`` times or more, by a suffix automaton of each shard."""
+
+    def match(batches):
+        for shard in _shards(batches):
+            ids: dict[str, int] = {}
+            contexts = [[ids.setdefault(w, len(ids)) for w in t.split(" ")] for t in shard.words]
+            auto = SuffixAutomaton()
+            for c, n in zip(contexts, shard.n):
+                auto.add(c, n)
+            auto.finish()
+            masks = []
+            for c in contexts:
+                mask = 0
+                for e, long in enumerate(auto.statistics(c, least)):
+                    if long >= LENGTH:
+                        mask |= 1 << (e - LENGTH + 1)
+                masks.append(mask)
+            yield pd.DataFrame({"key": shard.key.array, "digest": shard.digest.array, "mask": masks})
+
+    return match
 
 
 def _contexts(batches):
+    """The words of the contexts that a text carries for all."""
     for b in batches:
-        rows: dict[str, list] = {k: [] for k in ("fp", "digest", "n", "nw", "words")}
+        rows: dict[str, list] = {k: [] for k in ("key", "digest", "n", "nw", "words")}
         for text, spans in zip(b.text, b.spans):
             words = text_words(text)
             for s in spans:
-                for k, v in zip(rows, (s["fp"], s["digest"], s["n"], s["nw"], " ".join(words[s["lo"] : s["lo"] + s["nw"] + LENGTH - 1]))):
+                for k, v in zip(rows, (s["key"], s["digest"], s["n"], s["nw"], " ".join(words[s["lo"] : s["lo"] + s["nw"] + LENGTH - 1]))):
                     rows[k].append(v)
         yield pd.DataFrame(rows)
 
 
-def _windows(batches):
-    for b in batches:
-        rows: dict[str, list] = {k: [] for k in ("rid", "lo", "window")}
-        for rid, text, spans in zip(b.rid, b.text, b.spans):
-            words = text_words(text)
-            for s in spans:
-                for lo in range(s["lo"], s["lo"] + s["nw"]):
-                    rows["rid"].append(rid)
-                    rows["lo"].append(lo)
-                    rows["window"].append(hashlib.md5(" ".join(words[lo : lo + LENGTH]).encode("utf-8", "surrogatepass")).digest())
-        yield pd.DataFrame(rows)
+def _split(level: int):
+    """A function that cuts contexts into those of finer anchors: (key, digest, off, finer, part, n, nw, words), off being the first window's place in the context."""
+
+    def cut(batches):
+        for b in batches:
+            rows: dict[str, list] = {k: [] for k in ("key", "digest", "off", "finer", "part", "n", "nw", "words")}
+            for key, digest, n, text in zip(b.key, b.digest, b.n, b.words):
+                words = text.split(" ")
+                for finer, first, count, part in zip(*(x.tolist() for x in finer_anchors(word_hashes(text)[3], level))):
+                    for k, v in zip(rows, (key, digest, first, finer, part, n, count, " ".join(words[first : first + count + LENGTH - 1]))):
+                        rows[k].append(v)
+            yield pd.DataFrame(rows)
+
+    return cut
 
 
 def text_words(text: str | None) -> list[str]:
@@ -189,8 +220,43 @@ def text_words(text: str | None) -> list[str]:
     return [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts, ends)]
 
 
-def flagged(own: DataFrame) -> DataFrame:
-    """(rid, spans) of the rows with repeated windows: spans are (lo, mask), bit i for the window at word lo + i.
+def _repeated(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0) -> DataFrame:
+    """(key, digest, mask) of different contexts (key, digest, n, nw, words) with windows that occur ``least`` times; ``keys`` has the contexts' keys.
+
+    All contexts of an anchor meet in a shard. Where there are more than SPLIT_CONTEXTS, they are cut at finer anchors first; equal parts are
+    counted as one context, and what is found of them goes back to the contexts that they were cut from. At the last level a part is one window, so an anchor
+    has one context and the cutting ends.
+    """
+    wide = written(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > SPLIT_CONTEXTS).select("key"), "wide")
+    n_wide = wide.count()
+    narrow = contexts
+    if n_wide:
+        contexts = written(contexts, "contexts")
+        wide = F.broadcast(wide) if n_wide <= BROADCAST_KEYS else wide
+        narrow = contexts.join(wide, "key", "left_anti")
+    masks = narrow.repartition("key").sortWithinPartitions("key").mapInPandas(_matched(least), "key long, digest long, mask long").where("mask != 0")
+    if not n_wide:
+        return masks
+    parts = written(contexts.join(wide, "key", "left_semi").mapInPandas(_split(level), "key long, digest long, off int, finer long, part long, n long, nw int, words string"), "parts")
+    finer = parts.groupBy(F.col("finer").alias("key"), F.col("part").alias("digest")).agg(F.sum("n").alias("n"), F.first("nw").alias("nw"), F.first("words").alias("words"))
+    finer = written(finer, "finer")
+    again = written(_repeated(finer, finer, least, level + 1), "masks")
+    again = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    back = parts.select("key", "digest", "off", "finer", "part").join(again.toDF("finer", "part", "mask"), ["finer", "part"])
+    return masks.unionByName(back.groupBy("key", "digest").agg(F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask")))
+
+
+def _salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """The inner join of rows with others, whose keys are unique; rows of hot keys (few, see HOT_PARTS) are dealt over SALTS tasks."""
+    mark = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = rows.join(mark, keys, "left").withColumn("__salt", F.pmod(F.xxhash64("rid", "lo"), salts)).drop("__salts")
+    right = others.join(mark, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def flagged(own: DataFrame, least: int = 2) -> DataFrame:
+    """(ROW, spans) of the rows (ROW, text, weight) with windows that occur ``least`` times, by the rows' weights: spans are (lo, mask), bit i for the window at word lo + i.
 
     All joins with ``own`` ask for all its columns, so that its texts are shuffled once and that exchange is used again.
     """
@@ -201,28 +267,36 @@ def flagged(own: DataFrame) -> DataFrame:
                 few = b.iloc[lo : lo + 500]
                 parts = [anchors(word_hashes(t or "")[3]) for t in few.text]
                 size = [len(p[0]) for p in parts]
-                fp, first, count, digest = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                yield pd.DataFrame({"rid": np.repeat(few.rid.to_numpy(), size), "fp": fp, "digest": digest, "lo": first.astype(np.int32), "nw": count.astype(np.int32)})
-
-    runs = written(own.select("rid", "text").mapInPandas(scan, "rid long, fp long, digest long, lo int, nw int"), "runs")
-    twice = runs.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    runs = written(runs.join(twice, "fp"), "repeated")
-    distinct = runs.groupBy("fp", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "nw")).alias("at"))
-    wide = distinct.groupBy("fp").agg(F.count("*").alias("m"))
-    hot = written(wide.where(F.col("m") > HOT_CONTEXTS).select("fp"), "hot")
-    some_hot = bool(hot.take(1))
-    if some_hot:
-        distinct = distinct.join(hot, "fp", "left_anti")
-    carriers = distinct.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("fp", "digest", "n", F.col("at.lo").alias("lo"), F.col("at.nw").alias("nw"))).alias("spans"))
-    contexts = own.join(carriers, "rid").select(*own.columns, "spans").mapInPandas(_contexts, "fp long, digest long, n long, nw int, words string")
-    masks = contexts.repartition("fp").sortWithinPartitions("fp").mapInPandas(_matched, "fp long, digest long, mask long").where("mask != 0")
-    found = runs.join(masks, ["fp", "digest"]).select("rid", "lo", "mask")
-    if some_hot:
-        spans = runs.join(hot, "fp").groupBy("rid").agg(F.collect_set(F.struct("lo", "nw")).alias("spans"))
-        windows = own.join(spans, "rid").select(*own.columns, "spans").mapInPandas(_windows, "rid long, lo int, window binary")
-        again = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-        found = found.union(windows.join(again, "window").select("rid", "lo", F.lit(1).cast("long")))
-    return found.groupBy("rid").agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
+                key, first, count, digest = (np.concatenate([p[i] for p in parts]) for i in range(4))
+                ids = {c: np.repeat(few[c].to_numpy(), size) for c in (*ROW, "weight")}
+                yield pd.DataFrame(ids | {"key": key, "digest": digest, "lo": first.astype(np.int32), "nw": count.astype(np.int32)})
+
+    runs = written(own.select(*ROW, "weight", "text").mapInPandas(scan, "rid long, rid2 long, weight int, key long, digest long, lo int, nw int"), "runs")
+    counts = runs.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where((F.col("c") > 1) & (F.col("w") >= least))
+    counts = written(counts, "counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    most = max(HOT_ROWS, total // HOT_PARTS)
+    runs = written(_salted(runs, counts.select("key"), ["key"], counts.where(F.col("c") > most)), "repeated")
+    distinct = runs.groupBy("key", "digest").agg(F.sum("weight").alias("n"), F.count("*").alias("c"), F.min(F.struct(*ROW, "lo", "nw")).alias("at"))
+    distinct = written(distinct.select("key", "digest", "n", "c", "at.*"), "distinct")
+    carriers = distinct.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
+    contexts = own.join(carriers, ROW).select(*own.columns, "spans").mapInPandas(_contexts, "key long, digest long, n long, nw int, words string")
+    masks = _repeated(contexts, distinct, least)
+    found = _salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], distinct.where(F.col("c") > most))
+    return found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
+
+
+def _uncovered(n: int, spans) -> np.ndarray:
+    """Which of n words lie under no window of the spans."""
+    cover = np.zeros(n + 1, np.int32)
+    for s in spans if spans is not None else ():
+        lo, mask = s["lo"], s["mask"]
+        while mask:
+            low = (mask & -mask).bit_length() - 1
+            cover[lo + low] += 1
+            cover[lo + low + LENGTH] -= 1
+            mask &= mask - 1
+    return np.cumsum(cover)[:n] == 0
 
 
 def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
@@ -236,12 +310,13 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
     meet the documents' parts in a shuffle. Windows fall to anchors (the smallest hash of eight words in them), equal windows to equal anchors. Anchors
     seen once are dropped; different contexts of the others are counted, and each shard holds all contexts of some anchors in
     a suffix automaton, through which they are streamed for the longest run that occurs twice. The automata compare words, so hashes
-    only route. An anchor with more than HOT_CONTEXTS different contexts is not gathered: its windows are counted one by one.
+    only route. An anchor with more than SPLIT_CONTEXTS different contexts is split at finer anchors (see _repeated); rows of anchors
+    and contexts that very many places share are joined over several tasks.
     """
     keep = tuple(c for c in keep if c not in ("doc_id", "text"))
     kinds = dict(docs.dtypes)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)])
-    own = own.withColumn("rid", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")))
+    own = own.select("*", *row_ids(), F.lit(1).alias("weight"))
 
     def remove(batches):
         for b in batches:
@@ -249,15 +324,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
             for text, spans in zip(b.text, b.spans):
                 data, starts, ends, _ = word_hashes(text or "")
                 raw, n = data.tobytes(), len(starts)
-                cover = np.zeros(n + 1, np.int32)
-                for s in spans if spans is not None else ():
-                    lo, mask = s["lo"], s["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        cover[lo + low] += 1
-                        cover[lo + low + LENGTH] -= 1
-                        mask &= mask - 1
-                stay = np.cumsum(cover)[:n] == 0
+                stay = _uncovered(n, spans)
                 rows["n_words"].append(n)
                 rows["n_removed"].append(int(n - stay.sum()))
                 rows["kept_sha256"].append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[stay], ends[stay])])).hexdigest())
@@ -270,7 +337,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
             out = {"doc_id": b.doc_id.array} | {f"k_{i}": b[f"k_{i}"].array for i in range(len(keep))} | rows
             yield pd.DataFrame(out)
 
-    marked = own.join(flagged(own), "rid", "left")
+    marked = own.join(flagged(own), ROW, "left")
     schema = f"doc_id {kinds['doc_id']}, " + "".join(f"k_{i} {kinds[c]}, " for i, c in enumerate(keep)) + "n_words long, n_removed long, kept_sha256 string, kept string"
     return marked.select(*own.columns, "spans").mapInPandas(remove, schema)
 
@@ -292,17 +359,31 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k, 0)
 """
 
 
-# ---- a reference of bounded size ------------------------------------------------------------------------
+# ---- another reference --------------------------------------------------------------------------------
 
 
-def without_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and text of docs without the spans of at least ``length`` words that also stand in a text of ``reference``.
+def without_reference(docs: DataFrame, reference: DataFrame, most: int = REFERENCE_WORDS) -> DataFrame:
+    """doc_id and text of docs without the spans of at least 35 words that also stand in a text of ``reference``; texts that lose words are joined by blanks.
 
-    The reference's words are counted first; more than REFERENCE_WORDS raise an error. Its texts are cut into shards, whose automata are broadcast.
+    A reference of at most ``most`` words is cut into shards, whose automata are broadcast and through which every document is streamed. A larger one
+    meets the documents in a shuffle, as ``flagged`` does with the rest of a corpus: its rows weigh one, the documents nothing, and windows of weight one
+    go. Null texts stay null; a null or empty reference text has no words.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    out = f"doc_id {kind}, text string"
+    joined = lambda words, stay: " ".join([w for w, k in zip(words, stay) if k])
     size = reference.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))).alias("n")).first().n or 0
-    if size > REFERENCE_WORDS:
-        raise ValueError(f"the reference has {size} words; at most {REFERENCE_WORDS} can be broadcast")
+    if size > most:
+        own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids(), F.lit(0).alias("weight"))
+        other = reference.select(F.lit(None).cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids(), F.lit(1).alias("weight"))
+
+        def remove(batches):
+            for b in batches:
+                words = [text_words(t) for t in b.text]
+                left = [_uncovered(len(w), s) for w, s in zip(words, b.spans)]
+                yield pd.DataFrame({"doc_id": b.doc_id.array, "text": [t if t is None or k.all() else joined(w, k) for t, w, k in zip(b.text, words, left)]})
+
+        return own.join(flagged(own.unionByName(other), 1), ROW, "left").select("doc_id", "text", "spans").mapInPandas(remove, out)
     shards, auto, held = [], SuffixAutomaton(), 0
     for row in reference.select("text").collect():
         words = text_words(row.text)
@@ -315,17 +396,17 @@ def without_reference(docs: DataFrame, reference: DataFrame, length: int = LENGT
 
     def stream(batches):
         for b in batches:
-            out = []
+            texts = []
             for text in b.text:
                 words = text_words(text)
                 gone = np.zeros(len(words) + 1, np.int32)
                 for a in sent.value:
                     for e, n in enumerate(a.statistics(words)):
-                        if n >= length:
+                        if n >= LENGTH:
                             gone[e - n + 1] += 1
                             gone[e + 1] -= 1
                 left = np.cumsum(gone)[: len(words)] == 0
-                out.append(None if text is None else text if left.all() else " ".join([w for w, k in zip(words, left) if k]))
-            yield pd.DataFrame({"doc_id": b.doc_id.array, "text": out})
+                texts.append(text if text is None or left.all() else joined(words, left))
+            yield pd.DataFrame({"doc_id": b.doc_id.array, "text": texts})
 
-    return docs.select("doc_id", "text").mapInPandas(stream, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    return docs.select("doc_id", "text").mapInPandas(stream, out)

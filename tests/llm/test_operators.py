@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from collatio.llm import decontam, jaccard, langid, licenses, packing, quality, sharding, substrings, urls, warc
+from collatio.llm.common import word_hashes
 from collatio.llm.graph import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -630,10 +631,10 @@ def naive_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot,shard", [(substrings.HOT_CONTEXTS, substrings.SHARD_WORDS), (2, 300)])
-def test_repeated_passages_go(spark, docs, rows, empty, hot, shard, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_CONTEXTS", hot)
-    monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+@pytest.mark.parametrize("split,shard,hot", [(substrings.SPLIT_CONTEXTS, substrings.SHARD_WORDS, substrings.HOT_ROWS), (1, 300, 3)])
+def test_repeated_passages_go(spark, docs, rows, empty, split, shard, hot, monkeypatch):
+    for name, value in (("SPLIT_CONTEXTS", split), ("SHARD_WORDS", shard), ("HOT_ROWS", hot), ("BROADCAST_KEYS", 0 if split == 1 else substrings.BROADCAST_KEYS)):
+        monkeypatch.setattr(substrings, name, value)
     loop = [(200, "la " * 80), (201, "a b c " * 30)]
     more = frame(spark, rows + loop)
     got = substrings.deduplicated(more, ("lang",), texts=True).collect()
@@ -659,9 +660,32 @@ def test_automaton_statistics():
                 assert list(auto.statistics(s, least)) == want
 
 
-def test_bounded_reference(spark):
+def test_finer_anchors_agree_on_equal_windows():
+    rnd = random.Random(14)
+    v = vocabulary(30)
+    passage = [rnd.choice(v) for _ in range(70)]
+    texts = [[rnd.choice(v) for _ in range(rnd.randrange(5, 40))] + passage[k : k + 50] + [rnd.choice(v)] for k in (0, 9, 20)] + [["x", "y", "z"] * 20, ["la"] * 90]
+    for level in range(len(substrings.FINER) + 1):
+        keys = collections.defaultdict(set)
+        digests = collections.defaultdict(set)
+        for t in texts:
+            covered = 0
+            for key, first, count, digest in zip(*substrings.finer_anchors(word_hashes(" ".join(t))[3], level)):
+                assert first == covered
+                covered += count
+                digests[key, digest].add(tuple(t[first : first + count + 34]))
+                for i in range(first, first + count):
+                    keys[tuple(t[i : i + 35])].add(key)
+            assert covered == max(0, len(t) - 34)
+        assert all(len(k) == 1 for k in keys.values()) and all(len(x) == 1 for x in digests.values())
+    assert len(keys) == len({next(iter(k)) for k in keys.values()})
+
+
+@pytest.mark.parametrize("most", [substrings.REFERENCE_WORDS, 10])
+def test_another_reference(spark, most):
     v = vocabulary()
     ref = " ".join(v[:80])
-    docs = spark.createDataFrame([(1, "start " + " ".join(v[10:60]) + " end"), (2, " ".join(v[10:40])), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in substrings.without_reference(docs, spark.createDataFrame([(ref,), (None,)], "text string")).collect()}
-    assert got == {1: "start end", 2: " ".join(v[10:40]), 3: None}
+    rows = [(1, "start " + " ".join(v[10:60]) + " end"), (2, " ".join(v[10:40])), (3, None), (4, " ".join(v[200:260])), (5, " ".join(v[200:260])), (None, ref), (6, ref), (6, ref)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in substrings.without_reference(docs, spark.createDataFrame([(ref,), (None,), ("",)], "text string"), most).collect())
+    assert got == collections.Counter([(1, "start end"), (2, " ".join(v[10:40])), (3, None), (4, rows[3][1]), (5, rows[4][1]), (None, ""), (6, ""), (6, "")])
