@@ -32,9 +32,14 @@ def shingles_of(words: str, k: str) -> Column:
     return F.expr(f"IF(size({words}) < {k}, cast(array() AS array<string>), transform(sequence(1, greatest(size({words}) - {k}, 0) + 1), i -> array_join(slice({words}, i, {k}), ' ')))")
 
 
-def numbered(shingles: str) -> Column:
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are computed once: what follows, filters too, refers to their values, as nothing is moved through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def numbered(ordered: str) -> Column:
     """Sorted shingles with the number of their occurrence as a last word, so that such sets compare as the multisets do."""
-    return F.expr(f"transform(array_sort({shingles}), (s, i) -> concat(s, ' ', i + 1 - array_position(array_sort({shingles}), s)))")
+    return F.expr(f"transform({ordered}, (s, i) -> concat(s, ' ', i + 1 - array_position({ordered}, s)))")
 
 
 def characters(shingles: str, last_word: bool = False) -> str:
@@ -43,15 +48,18 @@ def characters(shingles: str, last_word: bool = False) -> str:
     return f"aggregate({shingles}, 0L, (a, s) -> a + char_length(s){less})"
 
 
-def simhash(shingles: str, total: str) -> Column:
-    """64-bit SimHash of an array of shingles, each weighted by its characters, of which there are ``total`` (below 2**31).
+def fingerprinted(df: DataFrame, shingles: str, total: str) -> DataFrame:
+    """df's columns but ``shingles``, with ``print``, the 64-bit SimHash of the shingles, each weighted by its characters, of which there are ``total`` (below 2**31).
 
-    A number holds two of the 64 sums in its halves: bits i and i + 32 of a shingle's hash, times its weight.
+    A sum holds two of the 64 counts in its halves: bits i and i + 32 of a shingle's hash, times its weight. No two rows may be equal but for their shingles.
     """
-    pairs = f"transform({shingles}, s -> named_struct('h', xxhash64(s), 'c', cast(char_length(s) AS bigint)))"
-    sums = f"aggregate({pairs}, array_repeat(0L, 32), (a, x) -> transform(a, (v, i) -> v + (shiftright(x.h, i) & 4294967297L) * x.c))"
-    bits = f"IF(2 * (v & 4294967295L) > {total}, shiftleft(1L, i), 0L) | IF(2 * shiftrightunsigned(v, 32) > {total}, shiftleft(1L, i + 32), 0L)"
-    return F.expr(f"aggregate(transform({sums}, (v, i) -> {bits}), 0L, (f, x) -> f | x)")
+    keys = [c for c in df.columns if c != shingles]
+    each = df.select(*keys, F.explode(shingles).alias("__s")).select(*keys, F.xxhash64("__s").alias("__h"), F.char_length("__s").cast("long").alias("__c"))
+    pair = lambda i: F.sum(F.shiftright("__h", i).bitwiseAND(F.lit((1 << 32) + 1)) * F.col("__c")).alias(f"__{i}")
+    sums = each.groupBy(*keys).agg(*[pair(i) for i in range(32)])
+    set_if = lambda half, i: F.when(2 * half > F.col(total), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = [b for i in range(32) for b in (set_if(F.col(f"__{i}").bitwiseAND(F.lit((1 << 32) - 1)), i), set_if(F.shiftrightunsigned(f"__{i}", 32), i + 32))]
+    return settled(sums, print=reduce(Column.bitwiseOR, bits)).select(*keys, "print")
 
 
 def _cuts(radius: int) -> list[tuple[int, int]]:
@@ -71,12 +79,14 @@ def _first_block(radius: int) -> Column:
     return F.expr(f"shiftright(b, 32) = CASE {cases} END")
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item, n, k, sh, nsh, total, print): items with equal words share the key ``item``."""
-    items = benchmark.select("item_id", words_of(text_or_empty()).alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
-    items = items.withColumn("k", F.least(F.lit(WORDS), F.col("n"))).withColumn("sh", shingles_of("w", "k")).withColumn("total", F.expr(characters("sh")))
-    items = items.select("item_id", F.xxhash64("w").alias("item"), "w", "n", "k", "sh", numbered("sh").alias("nsh"), "total", simhash("sh", "total").alias("print"))
-    return written(items, "items")
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, item) and (item, w, n, k, sh, nsh, total, print) of items with words; those with equal words share the key ``item``."""
+    items = settled(benchmark.select("item_id", words_of(text_or_empty()).alias("w")).where("size(w) > 0"), item=F.xxhash64("w"))
+    kinds = items.select("item", "w", F.size("w").alias("n")).dropDuplicates(["item"]).withColumn("k", F.least(F.lit(WORDS), F.col("n")))
+    kinds = settled(settled(kinds, sh=shingles_of("w", "k")), ordered=F.sort_array("sh"), total=F.expr(characters("sh")))
+    kinds = written(kinds.select("item", "w", "n", "k", "sh", numbered("ordered").alias("nsh"), "total"), "items")
+    prints = fingerprinted(kinds.select("item", "sh", "total"), "sh", "total").select("item", "print")
+    return items.select("item_id", "item"), written(kinds.join(prints, "item"), "prints")
 
 
 def _windows(own: DataFrame, items: DataFrame, threshold: float) -> DataFrame | None:
@@ -84,10 +94,10 @@ def _windows(own: DataFrame, items: DataFrame, threshold: float) -> DataFrame |
 
     No other window can be similar: what it shares with the item is at most ``most``. Runs are compared by hashes, which only select.
     """
-    words = own.select(*ROW, words_of(text_or_empty()).alias("w")).select(*ROW, F.size("w").alias("m"), F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
+    words = settled(own.select(*ROW, words_of(text_or_empty()).alias("w")), m=F.size("w"), wh=F.transform("w", lambda w: F.xxhash64(w))).select(*ROW, "m", "wh")
     found = []
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most WORDS values
-        places = items.where(F.col("k") == k).select("item", "n", "total", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"), "sh")
+        places = settled(items.where(F.col("k") == k).select("item", "n", "total", "w", "sh"), wh=F.transform("w", lambda w: F.xxhash64(w)))
         places = places.select("item", "n", "total", F.explode(F.arrays_zip(F.slice(run_hashes("wh", k), F.lit(1), F.size("sh")).alias("h"), F.transform("sh", lambda s: F.char_length(s)).alias("c"))).alias("x"))
         places = places.select("item", "n", "total", "x.h", "x.c").distinct()
         if places.count() <= BROADCAST_SHINGLES:
@@ -116,25 +126,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     place; repeated rows match alike and are returned once; repeated items all match. rid and rid2 tell rows apart.
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids())
-    items = _items(benchmark)
+    ids, items = _items(benchmark)
     windows = _windows(own, items, threshold)
     if windows is None:
         return own.limit(0).select("doc_id", *ROW, F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     windows = written(windows, "windows")
     few = windows.count() <= BROADCAST_WINDOWS
     windows = windows.groupBy(*ROW).agg(F.collect_list(F.struct("item", "n", "k", "total", "start", "most")).alias("wins"))
-    texts = own.join(F.broadcast(windows) if few else windows, ROW).select("doc_id", *ROW, words_of(F.col("text")).alias("w"), "wins")
+    texts = settled(own.join(F.broadcast(windows) if few else windows, ROW).dropDuplicates(ROW), w=words_of(F.col("text")))
     cut = texts.select("doc_id", *ROW, F.inline(F.expr("transform(wins, x -> named_struct('item', x.item, 'k', x.k, 'total', x.total, 'start', x.start, 'most', x.most, 'w', slice(w, x.start + 1, x.n)))")))
-    cut = cut.select("doc_id", *ROW, "item", "total", "start", "most", F.size("w").alias("n_words"), shingles_of("w", "k").alias("sh")).withColumn("own", F.expr(characters("sh")))
+    cut = settled(settled(cut, sh=shingles_of("w", "k")), own=F.expr(characters("sh")))
     cut = cut.where(F.col("most") * (1 + threshold) >= threshold * (F.col("total") + F.col("own")) - 1e-6)
-    cut = cut.select("doc_id", *ROW, "item", "start", "n_words", "sh", "own", simhash("sh", "own").alias("print"))
-    sought = items.dropDuplicates(["item"]).select("item", "nsh", "total", F.col("print").alias("item_print")).withColumn("b", F.explode(blocks("item_print", radius)))
+    cut = fingerprinted(cut.select("doc_id", *ROW, "item", "start", "k", "own", F.array_join("w", " ").alias("window"), "sh"), "sh", "own")
+    sought = items.select("item", "nsh", "total", F.col("print").alias("item_print")).withColumn("b", F.explode(blocks("item_print", radius)))
     near = cut.withColumn("b", F.explode(blocks("print", radius))).join(sought, ["item", "b"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).where(_first_block(radius))
-    both = F.expr(characters("array_intersect(nsh, own_nsh)", last_word=True))
-    near = near.withColumn("own_nsh", numbered("sh")).withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.col("own") + F.col("total") - F.col("both"), F.lit(1)))
-    best = near.where(F.col("similarity") >= threshold).groupBy("doc_id", *ROW, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("x"))
-    return best.join(items.select("item", "item_id").distinct(), "item").select("doc_id", *ROW, "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity"))
+    near = settled(near, w=F.split("window", " "))
+    near = settled(near, ordered=F.sort_array(shingles_of("w", "k")))
+    near = settled(near.withColumn("shared", F.array_intersect("nsh", numbered("ordered"))), both=F.expr(characters("shared", last_word=True)))
+    near = near.withColumn("similarity", F.col("both") / F.greatest(F.col("own") + F.col("total") - F.col("both"), F.lit(1))).where(F.col("similarity") >= threshold)
+    best = near.groupBy("doc_id", *ROW, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size("w").alias("n_words"))).alias("x"))
+    return best.join(ids, "item").select("doc_id", *ROW, "item_id", (-F.col("x.s")).alias("start_word"), F.col("x.n_words").alias("n_words"), F.col("x.similarity").alias("similarity")).distinct()
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
