@@ -69,6 +69,24 @@ def row_ids() -> list:
     return [F.xxhash64(F.lit(3), F.col("doc_id"), text).alias("rid"), F.xxhash64(F.lit(11), text, F.col("doc_id")).alias("rid2")]
 
 
+#: A key is hot if it has so many rows, and more than this part of all: there are never more hot keys than parts, so a table of them may be broadcast.
+HOT_ROWS, HOT_PARTS, SALTS = 1000, 50_000, 64
+
+
+def hot_from(total: int) -> int:
+    """The most rows of a key that is not hot among ``total`` rows."""
+    return max(HOT_ROWS, total // HOT_PARTS)
+
+
+def salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
+    """The inner join of rows with others, whose keys are unique. Rows of the keys in ``hot`` (see hot_from) are dealt over SALTS tasks by the hash of columns ``by``."""
+    mark = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = rows.join(mark, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts)).drop("__salts")
+    right = others.join(mark, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -5,33 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_from, salted, written
 
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """rows (u, v) with ``m``, the least v of their u; rows of a u with more than ``most`` are dealt over several tasks."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__c"))
+    return salted(rows, least.drop("__c"), ["u"], least.where(F.col("__c") > most), ["v"])
 
 
-def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    onto = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+def _large(e: DataFrame, most: int) -> DataFrame:
+    both = _least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), most)
+    return both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+
+
+def _small(e: DataFrame, most: int) -> DataFrame:
+    onto = _least(e, most).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
     return onto.select("s.u", "s.v").where("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v), root being the least node of its component.
 
-    No group of neighbours is gathered: both stars are an aggregate with partial sums and an equality join, so
-    a node with any number of neighbours is only a skewed join. The edges never outnumber those given.
+    No group of neighbours is gathered: both stars are an aggregate with partial sums and an equality join, in which
+    the rows of a node with very many neighbours are dealt over several tasks. The edges never outnumber those given.
     """
     oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     now = written(oriented, "edges", "snappy")
     was = mark(now)
     while was[0]:
-        now = written(_small(_large(now)), "edges", "snappy")
+        most = hot_from(was[0])
+        now = written(_small(_large(now, most), most), "edges", "snappy")
         new = mark(now)
         if new == was:
             break

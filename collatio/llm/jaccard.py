@@ -10,15 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, table, word_hashes, written
+from .common import ROW, gram_hashes, hot_from, mixed, row_ids, salted, table, word_hashes, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 STEP, TOLERANCE = 16, 1e-6
-#: Most texts of one component side by side in one task; larger components are compared block by block.
-BLOCK = 512
+#: Most texts, and about the most shingles, of one component side by side in one task; larger components are compared block by block.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Components of more blocks are compared bucket by bucket of their bands, so that only texts that agree in a band meet.
+MOST_BLOCKS = 16
 _RNG = np.random.default_rng(71)
 _SEEDS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -121,7 +123,8 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
 def compared(cell: pd.DataFrame) -> pd.DataFrame:
     """For the texts of one cell: each text's linked documents (copies counted) and the least text of its local component.
 
-    A cell holds whole components, or two blocks (perhaps the same) of one large component, of which only pairs across count.
+    A cell holds whole components, or two blocks (perhaps the same) of one large component, of which only pairs across count, or two
+    blocks of the texts that agree in band ``band``, of which only pairs that agree in no earlier band count.
     """
     sets = [shingles(t) for t in cell.text]
     right = np.array([set_key(s) == bytes(k) for s, k in zip(sets, cell.key)], bool)
@@ -139,6 +142,8 @@ def compared(cell: pd.DataFrame) -> pd.DataFrame:
             x = up[x]
         return x
 
+    band = int(cell.band.iloc[0])
+    bands = band_keys(sig)[:, :band] if band > 0 else None
     edges = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1], True])
     block, side = cell.blk.to_numpy(), cell.g2.iloc[0] == cell.g3.iloc[0]
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -148,6 +153,9 @@ def compared(cell: pd.DataFrame) -> pd.DataFrame:
         if not side:
             near &= block[i] != block[j]
         i, j = i[near], j[near]
+        if bands is not None:
+            first = np.fromiter((not (bands[a] == bands[b]).any() for a, b in zip(i, j)), bool, len(i)) if len(i) < 1000 else ~np.logical_or.reduce([bands[i, k] == bands[j, k] for k in range(band)])
+            i, j = i[first], j[first]
         keep = pruned(sig, i, j)
         i, j = i[keep], j[keep]
         if len(i):
@@ -163,21 +171,21 @@ def compared(cell: pd.DataFrame) -> pd.DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, class_key, class_id, n_links, n_copies) for every row of docs.
+    """(doc_id, rid, rid2, class_key, class_id, n_links, n_copies) for every row of docs.
 
     A document's set holds its distinct runs of five words (all its words if there are fewer). ``n_links`` is the number of other
     rows whose set has a similarity of 0.8 or more, rows with an equal set included; ``class_id`` is the least doc_id among all rows reached over
     links, ``n_copies`` the rows with an equal set. Texts without words have no links and are classes of their own. Null ids take part and never are
-    a class_id unless the class has no other. ``rid`` hashes id and text, so only repeated rows share one.
+    a class_id unless the class has no other. ``rid`` and ``rid2`` tell rows apart; only repeated rows share them.
 
     Equal sets are collapsed first. The rest are cut into MinHash bands; the sets of a band point to its least set only,
-    and the components of these pointers (not their pairs) say which texts can be similar. Each component is compared once,
-    in one cell of at most BLOCK texts or, if it is larger, in cells of two blocks: pairs exist only as arrays within a task, and a cell emits a row a text.
-    The work grows with the square of the *different* near-alike texts of one component, as their links do; its memory and its output do not.
+    and the components of these pointers (not their pairs) say which texts can be similar. Each component is compared once: in one cell of at most
+    BLOCK texts, or in cells of two blocks, or, if it has more than MOST_BLOCKS, in cells of the texts that share a band. Pairs exist only
+    as arrays within a task, and a cell emits a row a text. Rows of keys that hold very many (one text's copies, one component, one class, one band)
+    are dealt over several tasks before they are joined.
     """
-    rid = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", rid.alias("rid"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids())
 
     def sign(batches):
         for b in batches:
@@ -189,48 +197,67 @@ def linked(docs: DataFrame) -> DataFrame:
                 if full:
                     for i, row in zip(full, band_keys(signatures([sets[i] for i in full]))):
                         bands[i] = row
-                yield pd.DataFrame({"doc_id": few.doc_id.array, "rid": few.rid.array, "key": [set_key(s) for s in sets], "bands": bands})
+                yield pd.DataFrame({"doc_id": few.doc_id.array} | {c: few[c].array for c in ROW} | {"key": [set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": bands})
 
-    signed = written(own.mapInPandas(sign, f"doc_id {kind}, rid long, key binary, bands array<long>"), "signed")
-    groups = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.first("bands").alias("bands"))
-    groups = written(groups.withColumn("node", F.xxhash64("key")), "groups")
+    signed = written(own.mapInPandas(sign, f"doc_id {kind}, rid long, rid2 long, key binary, size int, bands array<long>"), "signed")
+    groups = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct(*ROW)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    groups = written(groups.select("key", "n", "first_id", "row.*", "size", "bands", F.xxhash64("key").alias("node")), "groups")
     banded = groups.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other")
-    stars = banded.join(hubs, "band").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    comps = written(components(stars), "components")
-    sizes = comps.groupBy("root").agg(F.count("*").alias("m"))
-    members = groups.select("key", "n", "rid", "node").join(comps.join(sizes, "root"), "node")
-    bins = max(1, -(-comps.count() // BLOCK))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = members.select("key", "n", "rid", F.col("root").alias("comp"), blocks.alias("nb"), F.pmod(F.xxhash64(F.lit(9), "key"), blocks.cast("long")).cast("int").alias("blk"))
-    texts = own.select("rid", "text").join(members, "rid").dropDuplicates(["rid"])
-    cells = texts.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    small = F.col("nb") == 1
-    cells = cells.select(
-        "key", "n", "comp", "blk", "text",
-        F.when(small, F.pmod(F.xxhash64(F.lit(5), "comp"), F.lit(bins))).otherwise(F.col("comp")).alias("g1"),
-        F.when(small, F.lit(-1)).otherwise(F.least("blk", "to")).alias("g2"), F.when(small, F.lit(-1)).otherwise(F.greatest("blk", "to")).alias("g3"),
-    )
-    found = written(cells.groupBy("g1", "g2", "g3").applyInPandas(compared, "key binary, root binary, links long"), "links")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("m")).where("hub != other")
+    total, n_banded = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
+    stars = salted(banded, hubs.drop("other", "m"), ["band"], hubs.where(F.col("m") > hot_from(n_banded)), ["node"]).where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    members = groups.select("key", "n", *ROW, "size", "node").join(components(stars).withColumnRenamed("root", "comp"), "node")
+    cells = _cells(written(members, "members"), groups)
+    texts = own.select(*ROW, "text").join(cells.groupBy(*ROW).agg(F.collect_list(F.struct("key", "n", "comp", "blk", "band", "g1", "g2", "g3")).alias("to")), ROW).dropDuplicates(ROW)
+    found = written(texts.select("text", F.inline("to")).groupBy("g1", "g2", "g3").applyInPandas(compared, "key binary, root binary, links long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     info = groups.select("key", "n", "first_id").join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     info = info.withColumn("class_key", F.coalesce("root", "key"))
-    heads = info.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
-    info = info.join(heads, "class_key").select("key", "class_key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies"))
-    out = signed.where(F.col("key").isNotNull()).select("doc_id", "rid", "key").join(info, "key").select("doc_id", "rid", "class_key", "class_id", "n_links", "n_copies")
-    alone = signed.where(F.col("key").isNull()).select("doc_id", "rid", F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    heads = written(info.groupBy("class_key").agg(F.min("first_id").alias("class_id"), F.count("*").alias("m")), "heads")
+    info = salted(info, heads.drop("m"), ["class_key"], heads.where(F.col("m") > hot_from(total)), ["key"])
+    info = info.select("key", "class_key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies"))
+    out = salted(signed.where(F.col("key").isNotNull()).select("doc_id", *ROW, "key"), info, ["key"], groups.where(F.col("n") > hot_from(total)), ROW)
+    out = out.select("doc_id", *ROW, "class_key", "class_id", "n_links", "n_copies")
+    alone = signed.where(F.col("key").isNull()).select("doc_id", *ROW, F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone)
 
 
+def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, n, ROW, comp, blk, band, g1, g2, g3): the cells that members (key, n, ROW, size, node, comp) go to; a cell's size is bounded by texts and by shingles."""
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    many = lambda df, by: df.groupBy(by).agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    total, shingled = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bins = max(1, -(-total // BLOCK), -(-shingled // BLOCK_SHINGLES))
+    sizes = many(members, "comp")
+    sized = salted(members, sizes.select("comp", blocks.alias("nb")), ["comp"], sizes.where(F.col("m") > hot_from(total)), ["key"])
+    block = F.pmod(F.xxhash64(F.lit(9), "key"), F.col("nb").cast("long")).cast("int").alias("blk")
+    no_band, columns = F.lit(-1).alias("band"), ["key", "n", *ROW, "comp", "blk", "band", "g1", "g2", "g3"]
+    small = sized.where("nb = 1").select("key", "n", *ROW, "comp", F.lit(0).alias("blk"), no_band, F.pmod(F.xxhash64(F.lit(5), "comp"), F.lit(bins)).alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3"))
+    to = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("to")
+    pairs = [F.least("blk", "to").alias("g2"), F.greatest("blk", "to").alias("g3")]
+    mid = sized.where(f"nb BETWEEN 2 AND {MOST_BLOCKS}").select("*", block, no_band).select("*", to).select("key", "n", *ROW, "comp", "blk", "band", F.col("comp").alias("g1"), *pairs)
+    out = small.union(mid.select(columns))
+    giant = sized.where(f"nb > {MOST_BLOCKS}")
+    if giant.take(1):
+        giant = giant.select("key", "n", *ROW, "size").join(groups.select("key", "bands"), "key").select("key", "n", *ROW, "size", F.posexplode("bands").alias("band", "value"))
+        giant = written(giant, "giant")
+        buckets = many(giant, "value").where("m > 1")
+        bucketed = salted(giant, buckets.select("value", blocks.alias("nb")), ["value"], buckets.where(F.col("m") > hot_from(giant.count())), ["key"])
+        bucketed = bucketed.select("*", block).select("*", to).select("key", "n", *ROW, F.col("value").alias("comp"), "blk", "band", F.xxhash64(F.lit(6), "value").alias("g1"), *pairs)
+        out = out.union(bucketed.select(columns))
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each class the row with the least doc_id (null last; ties by a hash of the text) stays, once."""
     found = written(linked(docs), "classes")
-    first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).getField("rid").alias("__rid"))
-    own = docs.withColumn("__rid", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text").cast("string")))
-    alone = found.where(F.col("class_key").isNull()).select(F.col("rid").alias("__rid"))
-    stay = own.join(first, "__rid", "left_semi").dropDuplicates(["__rid"])
-    return stay.unionByName(own.join(alone, "__rid", "left_semi")).drop("__rid")
+    names = [f"__{c}" for c in ROW]
+    first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("x")).select(*[F.col(f"x.{c}").alias(n) for c, n in zip(ROW, names)])
+    own = docs.withColumns(dict(zip(names, row_ids())))
+    alone = found.where(F.col("class_key").isNull()).select(*ROW).toDF(*names)
+    stay = own.join(first, names, "left_semi").dropDuplicates(names)
+    return stay.unionByName(own.join(alone, names, "left_semi")).drop(*names)
 
 
 def joined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

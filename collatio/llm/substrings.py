@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, _POWERS, gram_hashes, mixed, row_ids, table, word_hashes, written
+from .common import ROW, _POWERS, gram_hashes, hot_from, mixed, row_ids, salted, table, word_hashes, written
 
 LENGTH, GRAM = 35, 8
 #: Words of one shard's automaton, and most different contexts of one anchor that go to a shard as they are.
@@ -18,8 +18,6 @@ SHARD_WORDS, SPLIT_CONTEXTS = 60_000, 1_000
 FINER = (2, 5)
 #: Most rows, of some 20 bytes each, that are broadcast.
 BROADCAST_KEYS = 500_000
-#: A key is hot if it has so many rows, and more than this part of all; there are never more hot keys than parts.
-HOT_ROWS, HOT_PARTS, SALTS = 20_000, 50_000, 64
 #: Most words of a reference whose automata are broadcast; a larger one meets the documents in a shuffle.
 REFERENCE_WORDS = 2_000_000
 
@@ -246,15 +244,6 @@ def _repeated(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0)
     return masks.unionByName(back.groupBy("key", "digest").agg(F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask")))
 
 
-def _salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """The inner join of rows with others, whose keys are unique; rows of hot keys (few, see HOT_PARTS) are dealt over SALTS tasks."""
-    mark = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("__salts")))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(mark, keys, "left").withColumn("__salt", F.pmod(F.xxhash64("rid", "lo"), salts)).drop("__salts")
-    right = others.join(mark, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("__salts")
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
-
-
 def flagged(own: DataFrame, least: int = 2) -> DataFrame:
     """(ROW, spans) of the rows (ROW, text, weight) with windows that occur ``least`` times, by the rows' weights: spans are (lo, mask), bit i for the window at word lo + i.
 
@@ -274,15 +263,14 @@ def flagged(own: DataFrame, least: int = 2) -> DataFrame:
     runs = written(own.select(*ROW, "weight", "text").mapInPandas(scan, "rid long, rid2 long, weight int, key long, digest long, lo int, nw int"), "runs")
     counts = runs.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where((F.col("c") > 1) & (F.col("w") >= least))
     counts = written(counts, "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    most = max(HOT_ROWS, total // HOT_PARTS)
-    runs = written(_salted(runs, counts.select("key"), ["key"], counts.where(F.col("c") > most)), "repeated")
+    most = hot_from(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    runs = written(salted(runs, counts.select("key"), ["key"], counts.where(F.col("c") > most), ["rid", "lo"]), "repeated")
     distinct = runs.groupBy("key", "digest").agg(F.sum("weight").alias("n"), F.count("*").alias("c"), F.min(F.struct(*ROW, "lo", "nw")).alias("at"))
     distinct = written(distinct.select("key", "digest", "n", "c", "at.*"), "distinct")
     carriers = distinct.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
     contexts = own.join(carriers, ROW).select(*own.columns, "spans").mapInPandas(_contexts, "key long, digest long, n long, nw int, words string")
     masks = _repeated(contexts, distinct, least)
-    found = _salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], distinct.where(F.col("c") > most))
+    found = salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], distinct.where(F.col("c") > most), ["rid", "lo"])
     return found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from collatio.llm import decontam, jaccard, langid, licenses, packing, quality, sharding, substrings, urls, warc
+from collatio.llm import common, decontam, jaccard, langid, licenses, packing, quality, sharding, substrings, urls, warc
 from collatio.llm.common import word_hashes
 from collatio.llm.graph import components
 
@@ -98,9 +98,11 @@ def naive_links(rows):
     return collections.Counter((d, least.get(find(i)), links[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 4])
-def test_links_and_classes(docs, rows, block, monkeypatch):
+@pytest.mark.parametrize("block,blocks,hot", [(jaccard.BLOCK, jaccard.MOST_BLOCKS, common.HOT_ROWS), (4, 16, 3), (3, 1, 2)])
+def test_links_and_classes(docs, rows, block, blocks, hot, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_BLOCKS", blocks)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.linked(docs).collect())
     assert got == naive_links(rows)
 
@@ -113,9 +115,11 @@ def test_one_of_each(docs, rows, empty):
     assert jaccard.one_of_each(empty).count() == 0 and jaccard.linked(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [common.HOT_ROWS, 3])
+def test_components(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rnd = random.Random(2)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 530)]
     up = {x: x for e in edges for x in e}
 
     def find(x):
@@ -420,12 +424,15 @@ def test_recall_near_the_threshold(spark):
 
 def test_fingerprint_is_the_weighted_simhash(spark):
     rnd, v = random.Random(11), vocabulary()
-    rows = [(i, [" ".join(rnd.choice(v) for _ in range(3)) for _ in range(rnd.randrange(1, 30))]) for i in range(20)]
-    df = spark.createDataFrame(rows, "i int, sh array<string>").withColumn("total", F.expr(decontam.characters("sh")))
-    got = df.select("sh", F.expr("transform(sh, s -> xxhash64(s))").alias("h"), decontam.simhash("sh", "total").alias("f"), F.size(F.array_distinct(decontam.blocks("f"))).alias("n")).collect()
+    rows = {i: [" ".join(rnd.choice(v) for _ in range(3)) for _ in range(rnd.randrange(1, 30))] for i in range(20)}
+    rows[20] = ["x" * 70_000, "y" * 69_999, "z"]
+    df = spark.createDataFrame(list(rows.items()), "i int, sh array<string>").withColumn("total", F.expr(decontam.characters("sh")))
+    hashes = {r.i: r.h for r in df.select("i", F.expr("transform(sh, s -> xxhash64(s))").alias("h")).collect()}
+    got = decontam.fingerprinted(df, "sh", "total").select("i", "print", F.size(F.array_distinct(decontam.blocks("print"))).alias("n")).collect()
+    assert len(got) == len(rows)
     for r in got:
-        sums = [sum(len(s) if h >> b & 1 else -len(s) for s, h in zip(r.sh, r.h)) for b in range(64)]
-        assert r.f & (1 << 64) - 1 == sum(1 << b for b in range(64) if sums[b] > 0) and r.n == decontam.RADIUS + 1
+        sums = [sum(len(s) if h >> b & 1 else -len(s) for s, h in zip(rows[r.i], hashes[r.i])) for b in range(64)]
+        assert r.print & (1 << 64) - 1 == sum(1 << b for b in range(64) if sums[b] > 0) and r.n == decontam.RADIUS + 1
 
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
@@ -631,9 +638,10 @@ def naive_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("split,shard,hot", [(substrings.SPLIT_CONTEXTS, substrings.SHARD_WORDS, substrings.HOT_ROWS), (1, 300, 3)])
+@pytest.mark.parametrize("split,shard,hot", [(substrings.SPLIT_CONTEXTS, substrings.SHARD_WORDS, common.HOT_ROWS), (1, 300, 3)])
 def test_repeated_passages_go(spark, docs, rows, empty, split, shard, hot, monkeypatch):
-    for name, value in (("SPLIT_CONTEXTS", split), ("SHARD_WORDS", shard), ("HOT_ROWS", hot), ("BROADCAST_KEYS", 0 if split == 1 else substrings.BROADCAST_KEYS)):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    for name, value in (("SPLIT_CONTEXTS", split), ("SHARD_WORDS", shard), ("BROADCAST_KEYS", 0 if split == 1 else substrings.BROADCAST_KEYS)):
         monkeypatch.setattr(substrings, name, value)
     loop = [(200, "la " * 80), (201, "a b c " * 30)]
     more = frame(spark, rows + loop)
