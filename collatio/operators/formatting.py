@@ -15,21 +15,19 @@ STATS = ("unchanged", "changed", "added", "removed")
 ITALIC_BIT, BOLD_BIT = 1 << 1, 1 << 4
 
 
-def dominant(runs: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """(keys, value): the most frequent value that is not null, the first seen among equals."""
-    counts = runs.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+def dominant(values: Column) -> Column:
+    """The most frequent value of an array that is not null, the first seen among equals; null if there is none."""
+    some = F.filter(values, lambda v: v.isNotNull())
+    ranked = F.transform(F.array_distinct(some), lambda v, i: F.struct(F.size(F.filter(some, lambda x: x == v)).alias("n"), (-i).alias("i"), v.alias("v")))
+    return F.array_max(ranked)["v"]
 
 
 def paragraph_formats(runs: DataFrame, keys: list[str] = ["pair_id", "side", "idx"], order: str = "run_idx") -> DataFrame:  # noqa: B006
-    """One row a paragraph from its runs (keys, run_idx, text, font, size, bold, italic, underline, color); blank paragraphs are left out."""
-    base = runs.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda r: r["text"]), "").alias("text"),
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("bold", "italic", "underline")],
-    )
-    for value in ("font", "size", "color"):
-        base = base.join(dominant(runs, keys, value, order), keys, "left")
-    return base.where(F.trim("text") != "").select(*keys, "text", *PROPERTIES)
+    """One row a paragraph from its runs (keys, run_idx, text, font, size, bold, italic, underline, color); blank paragraphs are left out. One shuffle."""
+    flags = ("bold", "italic", "underline")
+    rows = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text", "font", "size", "color"))).alias("__runs"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags])
+    rows = rows.withColumn("text", F.array_join("__runs.text", "")).where(F.trim("text") != "")
+    return rows.select(*keys, "text", *[F.col(c) if c in flags else dominant(F.col(f"__runs.{c}")).alias(c) for c in PROPERTIES])
 
 
 def span_formats(spans: DataFrame) -> DataFrame:

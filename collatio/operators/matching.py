@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import logging
 import math
 import os
 import re
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CLOSE, MAJOR, MATCH_TYPES, TIERS, confidence, rounded, tier
 from ..functions.text import LINE_BREAK, paragraphs
+from ..plans.scratch import written
 from .alignment import SEGMENTS, diff_texts, word_diff
 from .similarity import provider
 
 #: Most paragraph combinations of a pair that is matched within a task.
 LOCAL_CELLS = 4_000_000
+#: Most edges of a pair that are matched greedily within a task.
+LOCAL_EDGES = 1_000_000
 
 
 def split_pairs(pairs: DataFrame) -> DataFrame:
@@ -28,22 +32,35 @@ def split_pairs(pairs: DataFrame) -> DataFrame:
     return sides.select("pair_id", "s.side", F.posexplode(paragraphs(F.col("s.text"))).alias("idx", "text"))
 
 
+def occurrences(parts: DataFrame) -> DataFrame:
+    """(pair_id, text, o, m): the rows of parts with a text, on either side, as structs in order of idx. What matches exactly and what is left both follow from it, with one shuffle."""
+    row = F.struct("idx", *[c for c in parts.columns if c not in ("pair_id", "side", "text", "idx")])
+    return parts.groupBy("pair_id", "text").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, row))).alias(s) for s in ("o", "m")])
+
+
 def exact_matches(parts: DataFrame) -> DataFrame:
     """(pair_id, o_idx, m_idx, text): the k-th occurrence of a text on one side goes with the k-th on the other."""
-    k = F.row_number().over(Window.partitionBy("pair_id", "side", "text").orderBy("idx"))
-    numbered = parts.select("pair_id", "side", "idx", "text", k.alias("k"))
-    o = numbered.where("side = 'o'").select("pair_id", "text", "k", F.col("idx").alias("o_idx"))
-    m = numbered.where("side = 'm'").select("pair_id", "text", "k", F.col("idx").alias("m_idx"))
-    return o.join(m, ["pair_id", "text", "k"]).select("pair_id", "o_idx", "m_idx", "text")
+    both = F.least(F.size("o"), F.size("m"))
+    pairs = F.arrays_zip(F.slice("o.idx", F.lit(1), both).alias("o_idx"), F.slice("m.idx", F.lit(1), both).alias("m_idx"))
+    return occurrences(parts.select("pair_id", "side", "idx", "text")).select("pair_id", "text", F.inline(pairs)).select("pair_id", "o_idx", "m_idx", "text")
 
 
 def unmatched(parts: DataFrame) -> DataFrame:
     """The rows of parts that have no exact match: those whose occurrence number the other side does not reach."""
-    w = Window.partitionBy("pair_id", "side", "text").orderBy("idx")
-    other = Window.partitionBy("pair_id", "text")
-    numbered = parts.withColumn("__k", F.row_number().over(w))
-    numbered = numbered.withColumn("__o", F.count_if(F.col("side") == "o").over(other)).withColumn("__m", F.count_if(F.col("side") == "m").over(other))
-    return numbered.where(F.col("__k") > F.least("__o", "__m")).drop("__k", "__o", "__m")
+    both = F.least(F.size("o"), F.size("m"))
+    left = [F.transform(F.slice(s, both + 1, F.size(s)), lambda r: F.struct(F.lit(s).alias("side"), r.alias("r"))) for s in ("o", "m")]  # noqa: B023
+    rows = occurrences(parts).select("pair_id", "text", F.explode(F.concat(*left)).alias("x"))
+    return rows.select("pair_id", "text", "x.side", "x.r.*").select(parts.columns)
+
+
+def plain_matches(parts: DataFrame) -> DataFrame:
+    """(pair_id, o_idx, m_idx, type): exact matches, and what is left as removed or added."""
+    both, none = F.least(F.size("o"), F.size("m")), F.lit(None).cast(dict(parts.dtypes)["idx"])
+    row = lambda o, m, kind: F.struct(o.alias("o_idx"), m.alias("m_idx"), F.lit(kind).alias("type"))
+    exact = F.transform(F.arrays_zip(F.slice("o.idx", F.lit(1), both).alias("a"), F.slice("m.idx", F.lit(1), both).alias("b")), lambda x: row(x["a"], x["b"], "exact_match"))
+    removed = F.transform(F.slice("o.idx", both + 1, F.size("o")), lambda x: row(x, none, "removed"))
+    added = F.transform(F.slice("m.idx", both + 1, F.size("m")), lambda x: row(none, x, "added"))
+    return occurrences(parts.select("pair_id", "side", "idx", "text")).select("pair_id", F.inline(F.concat(exact, removed, added)))
 
 
 def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
@@ -64,17 +81,25 @@ def greedy_pairs(edges: DataFrame, floor: float = 0.0) -> DataFrame:
     return edges.where(F.col("sim") >= floor).select("pair_id", "o_idx", "m_idx", "sim").groupBy("pair_id").applyInPandas(_greedy, schema)
 
 
-def greedy_rounds(edges: DataFrame, floor: float = 0.0, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """The same matching without gathering a pair: rounds that take every edge which is best for its row and its column. For pairs too large for one task."""
-    left = checkpoint(edges.where(F.col("sim") >= floor).select("pair_id", "o_idx", "m_idx", "sim"))
-    taken = left.limit(0)
+def greedy_rounds(edges: DataFrame, floor: float = 0.0, most: int = LOCAL_EDGES) -> DataFrame:
+    """The same matching for pairs of any size: pairs of at most ``most`` edges are matched within a task, of larger ones a round takes every edge that is best for its row and its column, until few enough are left."""
+    left = written(edges.where(F.col("sim") >= floor).select("pair_id", "o_idx", "m_idx", "sim"), "edges")
+    taken = None
     order = [F.col("sim").desc(), "o_idx", "m_idx"]
-    while left.take(1):
+    while True:
+        large = left.groupBy("pair_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("pair_id")
+        large = written(large, "large")
+        some = not large.isEmpty()
+        small = greedy_pairs(left.join(large, "pair_id", "left_anti") if some else left)
+        taken = small if taken is None else taken.unionByName(small)
+        if not some:
+            return taken
+        left = left.join(large, "pair_id", "left_semi")
         best = left.withColumn("__r", F.row_number().over(Window.partitionBy("pair_id", "o_idx").orderBy(*order))).withColumn("__c", F.row_number().over(Window.partitionBy("pair_id", "m_idx").orderBy(*order)))
-        now = checkpoint(best.where("__r = 1 AND __c = 1").drop("__r", "__c"))
+        now = written(best.where("__r = 1 AND __c = 1").drop("__r", "__c"), "taken")
         taken = taken.unionByName(now)
-        left = checkpoint(left.join(now.select("pair_id", "o_idx"), ["pair_id", "o_idx"], "left_anti").join(now.select("pair_id", "m_idx"), ["pair_id", "m_idx"], "left_anti"))
-    return taken
+        left = left.join(now.select("pair_id", "o_idx"), ["pair_id", "o_idx"], "left_anti").join(now.select("pair_id", "m_idx"), ["pair_id", "m_idx"], "left_anti")
+        left = written(left, "edges")
 
 
 def _rest(parts: DataFrame, taken: DataFrame, side: str) -> DataFrame:
@@ -93,7 +118,7 @@ def match_paragraphs(parts: DataFrame, similarity: str | None = None) -> DataFra
     sides = left.groupBy("pair_id").agg(F.count_distinct("side").alias("n"))
     both = left.join(sides.where("n = 2").select("pair_id"), "pair_id")
     name, score = provider(parts, similarity)
-    greedy = greedy_pairs(score(both))
+    greedy = greedy_rounds(score(both))
     number = lambda idx: F.row_number().over(Window.partitionBy("pair_id").orderBy(idx))
     o, m = _rest(left, greedy, "o").withColumn("k", number("o_idx")), _rest(left, greedy, "m").withColumn("k", number("m_idx"))
     rest = o.join(m, ["pair_id", "k"], "full").select("pair_id", "o_idx", "m_idx", F.when(F.col("o_idx").isNotNull() & F.col("m_idx").isNotNull(), 0.0).alias("sim"))
@@ -120,9 +145,12 @@ def document_order(matches: DataFrame) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(key) - 1).drop("__e")
 
 
-def relational_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True) -> DataFrame:
-    """semantic_matches by joins and windows over exploded paragraphs: no pair has to fit a task (but its greedy matching; see greedy_rounds)."""
+def relational_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True, vectors: DataFrame | None = None) -> DataFrame:
+    """semantic_matches by joins and windows over exploded paragraphs: no pair has to fit a task."""
     parts = split_pairs(pairs)
+    if vectors is not None:
+        parts = parts.join(vectors.select("pair_id", "side", "idx", "vector"), ["pair_id", "side", "idx"], "left")
+    parts = written(parts, "paragraphs")
     placed = document_order(match_paragraphs(parts, similarity))
     text = lambda side: parts.where(F.col("side") == side).select("pair_id", F.col("idx").alias(f"{side}_idx"), F.col("text").alias("original" if side == "o" else "modified"))
     out = placed.join(text("o"), ["pair_id", "o_idx"], "left").join(text("m"), ["pair_id", "m_idx"], "left")
@@ -220,14 +248,15 @@ def match_texts(original: str | None, modified: str | None) -> list[dict]:
     return out
 
 
-def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True) -> DataFrame:
+def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments: bool = True, errors: bool = False, vectors: DataFrame | None = None) -> DataFrame:
     """One row a match, in ``pos`` order: type, texts, similarity (4 digits), confidence (null where it is certain) and word segments.
 
     Pairs are matched where they stand, without a shuffle. Pairs of more than LOCAL_CELLS paragraph combinations, and all pairs if another
-    provider than TF-IDF is asked for, go through relational_matches.
+    provider than TF-IDF is asked for, go through relational_matches. The provider ``vectors`` takes the cosine of ``vectors`` (pair_id, side, idx, vector), which a
+    model has filled for the paragraphs of split_pairs; a paragraph without one is like no other. With ``errors`` a pair that breaks off gives one row of null type.
     """
     if (similarity or os.environ.get("SEMANTIC_PROVIDER", "tfidf")) != "tfidf":
-        return relational_matches(pairs, similarity, segments)
+        return relational_matches(pairs, similarity, segments, vectors)
     pairs = pairs.select("pair_id", "original", "modified")
     breaks = lambda c: F.length(F.coalesce(c, F.lit(""))) - F.length(F.regexp_replace(F.coalesce(c, F.lit("")), LINE_BREAK, "")) + 1
     large = breaks("original").cast("long") * breaks("modified") > LOCAL_CELLS
@@ -236,11 +265,18 @@ def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments:
         for b in batches:
             rows = []
             for pair, original, modified in zip(b.pair_id, b.original, b.modified):
-                for r in match_texts(original, modified):
-                    r["pair_id"] = pair
-                    if segments:
-                        r["segments"] = diff_texts(r["original"], r["modified"])["segments"]
-                    rows.append(r)
+                try:
+                    found = match_texts(original, modified)
+                    for r in found:
+                        r["pair_id"] = pair
+                        if segments:
+                            r["segments"] = diff_texts(r["original"], r["modified"])["segments"]
+                except Exception:
+                    if not errors:
+                        raise
+                    logging.getLogger(__name__).warning("no matches of pair %s", pair, exc_info=True)
+                    found = [{"pair_id": pair, "type": None}]
+                rows += found
             out = pd.DataFrame(rows, columns=["pair_id", *(c.split()[0] for c in MATCH.split(", ")), *["segments"] * segments])
             yield out.astype({"o_idx": "Int32", "m_idx": "Int32"})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import struct
 import zlib
 
@@ -27,7 +28,7 @@ PAGE = (
 def canvas(rgb: bytes | np.ndarray, w: int, h: int, to_w: int, to_h: int) -> np.ndarray:
     """A page at the top left of a white canvas, cut where it is larger."""
     out = np.full((to_h, to_w, 3), 255, np.uint8)
-    page = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)[:to_h, :to_w]
+    page = (rgb if isinstance(rgb, np.ndarray) else np.frombuffer(rgb, np.uint8)).reshape(h, w, 3)[:to_h, :to_w]
     out[: page.shape[0], : page.shape[1]] = page
     return out
 
@@ -225,5 +226,32 @@ def compare_pages(original: DataFrame, modified: DataFrame, assets: bool = True,
     return paired_pages(original, modified, most, extra).mapInPandas(run, PAGE)
 
 
+def compare_documents(pairs: DataFrame, render, assets: bool = True, extra: bool = True, most: int = PAGES) -> DataFrame:
+    """As compare_pages, with ``failed``, from both sides' files (pair_id, o_content, o_format, m_content, m_format): pages are drawn and compared within a task and never shuffled.
+
+    ``render`` (content, format, most pages) gives pages one after the other. A pair whose pages cannot be drawn or compared gives one row that only says so.
+    """
+    names = _names()
+
+    def run(batches):
+        for b in batches:
+            for pair, *files in zip(b.pair_id, b.o_content, b.o_format, b.m_content, b.m_format):
+                rows = []
+                try:
+                    o, m = (iter(render(bytes(raw), kind, most)) for raw, kind in (files[:2], files[2:]))
+                    for number in range(1, most + 1):
+                        left, right = next(o, None), next(m, None)
+                        if (left is None or right is None) if not extra else (left is None and right is None):
+                            break
+                        rows.append({"pair_id": pair, "failed": False} | compare_page(number, left, right, assets))
+                except Exception:
+                    logging.getLogger(__name__).warning("no pages of pair %s", pair, exc_info=True)
+                    rows = [dict.fromkeys(names) | {"pair_id": pair, "failed": True}]
+                out = pd.DataFrame(rows, columns=[*names, "failed"])
+                yield out.astype({c: "Int64" for c in ("page", "canvas_w", "canvas_h", "changed_pixels", "total_pixels")})
+
+    return pairs.mapInPandas(run, f"{PAGE}, failed boolean")
+
+
 def _names() -> list[str]:
     return ["pair_id", "page", "similarity", "confidence_score", "status", "diff_image_key", "original_image_key", "modified_image_key", "diff_only_image_key", "regions", "page_size_name", "canvas_w", "canvas_h", "changed_pixels", "total_pixels", "changed_percentage", "images"]

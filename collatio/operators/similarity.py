@@ -56,7 +56,7 @@ def vector_similarity(parts: DataFrame) -> DataFrame:
     o = parts.where("side = 'o'").select("pair_id", F.col("idx").alias("o_idx"), F.col("vector").alias("ov"))
     m = parts.where("side = 'm'").select("pair_id", F.col("idx").alias("m_idx"), F.col("vector").alias("mv"))
     sim = o.join(m, "pair_id").select("pair_id", "o_idx", "m_idx", F.least(F.greatest(cosine(F.col("ov"), F.col("mv")), F.lit(0.0)), F.lit(1.0)).alias("sim"))
-    return sim.where("sim > 0")
+    return sim.where("sim > 0")  # null vectors have no row either
 
 
 def _cosines(q: list, e: list) -> np.ndarray:

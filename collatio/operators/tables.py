@@ -110,8 +110,3 @@ def fast_row_diff(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
 def row_stats(diff: DataFrame, keys: list[str]) -> DataFrame:
     return diff.groupBy(*keys).agg(*[F.count_if(F.col("type") == t).alias(t) for t in STATS])
-
-
-def explode_rows(tables: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Rows of tables (keys, rows) as (keys, side, idx, row)."""
-    return tables.select(*keys, F.lit(side).alias("side"), F.posexplode("rows").alias("idx", "row"))

@@ -13,7 +13,3 @@ def job_view(jobs: DataFrame, documents: DataFrame, results: DataFrame) -> DataF
     out = jobs.join(doc("original"), "original_id").join(doc("modified"), "modified_id").join(results.withColumnRenamed("job_id", "id"), "id", "left")
     done = F.col("status") == "done"
     return out.select("id", "status", F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message"), "original_filename", "modified_filename", *[F.when(done, F.col(c)).alias(c) for c in fields])
-
-
-def status_of(error, result):
-    return F.when(error.isNotNull(), "failed").when(result.isNotNull(), "done").otherwise("queued")

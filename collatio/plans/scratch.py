@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+"""Intermediate tables in the folder that driver and executors share (spark.checkpoint.dir), and small inputs dealt over all cores."""
 
 from __future__ import annotations
 
@@ -13,8 +13,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="collatio-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared}/collatio-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df, dealt anew if it has fewer parts than ``per_core`` for each core: a small table in one file of few row groups would keep most cores idle. Large tables have more parts and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(per_core * cores) if df.rdd.getNumPartitions() < per_core * cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import percent, plural
+from ..functions.text import SPACE
 
 #: What is counted, in the order of the sentence, and the tabs of the two modes.
 LINES = (("text", "text change"), ("formatting", "formatting change"), ("tables", "table change"), ("visual", "page that looks different"), ("meaning", "paragraph with a meaning change"))
@@ -13,9 +14,10 @@ CONTENT_TABS, APPEARANCE_TABS = ("text", "tables", "meaning"), ("formatting", "v
 PAGE_DIFFERS = 0.98
 
 
-def visible_segments(segments: Column) -> Column:
-    """Segments that are not blank on both sides."""
-    return F.filter(segments, lambda s: F.trim(F.concat(s["original"], s["modified"])) != "")
+def visible_matches(matches: Column) -> Column:
+    """The matches with a text that is not blank on either side; null texts are blank."""
+    shown = lambda c: F.coalesce(c, F.lit("")).rlike(f"[^{SPACE}]")
+    return F.filter(matches, lambda m: shown(m["original"]) | shown(m["modified"]))
 
 
 def with_summary(counts: DataFrame) -> DataFrame:

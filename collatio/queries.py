@@ -11,6 +11,7 @@ from .functions import geometry, labels, text
 from .operators import alignment, formatting, matching, raster, similarity, tables
 from .plans import jobs, summary
 from .plans.compare import compare_texts, summarized
+from .plans.scratch import spread
 from .sources import detect, parsers, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, on all cores even where they are one small file."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # ---- texts -----------------------------------------------------------------------------------------
 
 
@@ -39,7 +45,7 @@ def revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     edit = F.expr(
         "array_join(flatten(transform(split(text, '\\n'), (l, i) -> CASE WHEN i % 7 = 3 THEN array() WHEN i % 5 = 2 THEN array(concat(l, ' revised')) WHEN i % 11 = 4 THEN array(l, concat('Inserted line ', i)) ELSE array(l) END)), '\\n')"
     )
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("original"), edit.alias("modified"))
 
 
@@ -62,7 +68,7 @@ exact AS (SELECT o.pair_id, o.idx AS o_idx, m.idx AS m_idx FROM numbered o JOIN
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\s]+|\\s+')) AS INTEGER) AS n_tokens FROM documents")
 def token_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
 
 
 @query("WITH " + PARTS.replace("WITH", "") + " SELECT pair_id, idx, text FROM parts WHERE side = 'o'")
@@ -74,7 +80,7 @@ def line_split(spark, sf_dir):
 SELECT doc_id, CAST(len(ls) AS INTEGER) AS n_blocks, array_to_string(ls, '|') AS blocks FROM b""")
 def paragraph_split(spark, sf_dir):
     blocks = text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n  \n")))
-    return read(spark, sf_dir, "documents").select("doc_id", blocks.alias("b")).select("doc_id", F.size("b").alias("n_blocks"), F.array_join("b", "|").alias("blocks"))
+    return documents(spark, sf_dir).select("doc_id", blocks.alias("b")).select("doc_id", F.size("b").alias("n_blocks"), F.array_join("b", "|").alias("blocks"))
 
 
 @query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n_words, CAST(length(text) AS INTEGER) AS n_chars, length(text) > 100000 AS too_long FROM conversations")
@@ -86,7 +92,7 @@ def word_char_counts(spark, sf_dir):
 @query("SELECT doc_id, strlen(text) > 20 * 1024 * 1024 AS too_large, length(text) > 100000 AS too_long, strlen(text) > 2048 AS beyond_2k FROM documents")
 def size_limits(spark, sf_dir):
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", text.too_large(F.encode(t, "UTF-8")).alias("too_large"), text.too_long(t).alias("too_long"), text.too_large(F.encode(t, "UTF-8"), 2048).alias("beyond_2k"))
+    return documents(spark, sf_dir).select("doc_id", text.too_large(F.encode(t, "UTF-8")).alias("too_large"), text.too_long(t).alias("too_long"), text.too_large(F.encode(t, "UTF-8"), 2048).alias("beyond_2k"))
 
 
 # ---- matching --------------------------------------------------------------------------------------
@@ -109,12 +115,7 @@ def unmatched_paragraphs(spark, sf_dir):
 
 
 def _plain_matches(spark, sf_dir):
-    parts = matching.split_pairs(revised(spark, sf_dir))
-    left = matching.unmatched(parts)
-    none = F.lit(None).cast("int")
-    rows = matching.exact_matches(parts).select("pair_id", "o_idx", "m_idx", F.lit("exact_match").alias("type"))
-    rows = rows.unionByName(left.where("side = 'o'").select("pair_id", F.col("idx").alias("o_idx"), none.alias("m_idx"), F.lit("removed").alias("type")))
-    return rows.unionByName(left.where("side = 'm'").select("pair_id", none.alias("o_idx"), F.col("idx").alias("m_idx"), F.lit("added").alias("type")))
+    return matching.plain_matches(matching.split_pairs(revised(spark, sf_dir)))
 
 
 PLAIN = """
@@ -291,7 +292,7 @@ def tables_added_removed(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     """A run for each word of each document's first-level lines; its properties follow from the word's length and place."""
-    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    lines = documents(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     words = lines.select("pair_id", F.lit("o").alias("side"), "idx", F.posexplode(F.split("line", " ")).alias("run_idx", "text"))
     n = F.length("text")
     return words.select(

@@ -58,10 +58,10 @@ def detected(filename: Column, content: Column) -> Column:
     """Struct of format and error; one of them is null."""
     ext, quoted = extension(filename), F.concat(F.lit("'"), F.coalesce(filename, F.lit("")), F.lit("'"))
     listed = ", ".join(sorted(FORMATS))
-    bad = F.when(format_of(filename).isNull(), F.concat(quoted, F.lit(f" isn't a supported file type. Supported so far: {listed}.")))
+    bad = F.when(format_of(filename).isNull(), F.concat(quoted, F.lit(f" is of no known type; known are {listed}.")))
     for e, magic in MAGIC.items():
-        bad = bad.when((ext == e) & ~starts_with(content, magic), F.concat(quoted, F.lit(f" has the extension {e}, but its contents do not look like that format; it may be corrupted or mislabeled.")))
+        bad = bad.when((ext == e) & ~starts_with(content, magic), F.concat(quoted, F.lit(f" is named {e}, but its first bytes are not those of such a file.")))
     for e, part in PARTS.items():
-        bad = bad.when((ext == e) & ~F.array_contains(zip_parts(content), part), F.concat(quoted, F.lit(f" has the extension {e}, but doesn't look like a real {e[1:]} file; it may be corrupted, mislabeled or of an older format.")))
-    bad = bad.when(ext.isin(".txt", ".md", ".csv") & ~is_utf8(content), F.concat(F.lit("Could not read "), quoted, F.lit(" as UTF-8 text.")))
+        bad = bad.when((ext == e) & ~F.array_contains(zip_parts(content), part), F.concat(quoted, F.lit(f" is named {e}, but lacks the main part of such a file.")))
+    bad = bad.when(ext.isin(".txt", ".md", ".csv") & ~is_utf8(content), F.concat(quoted, F.lit(" holds bytes that are no UTF-8.")))
     return F.struct(F.when(bad.isNull(), format_of(filename)).alias("format"), bad.alias("error"))

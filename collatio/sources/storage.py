@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the keys under which difference images are served.
 KEY = r"^diffs/[0-9a-fA-F\-_]+\.png$"
 
 
