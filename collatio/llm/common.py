@@ -70,7 +70,7 @@ def row_ids() -> list:
 
 
 #: A key is hot if it has so many rows, and more than this part of all: there are never more hot keys than parts, so a table of them may be broadcast.
-HOT_ROWS, HOT_PARTS, SALTS = 1000, 50_000, 64
+HOT_ROWS, HOT_PARTS, SALTS = 100, 50_000, 64
 
 
 def hot_from(total: int) -> int:
