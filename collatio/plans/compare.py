@@ -76,6 +76,8 @@ def _pages(pairs: DataFrame, good: DataFrame, styled: DataFrame, pages: tuple[Da
     else:
         files = good.join(styled, "pair_id", "left_semi").select("pair_id", F.col("o.format").alias("o_format"), F.col("m.format").alias("m_format"))
         files = files.join(pairs.select("pair_id", F.col("original_content").alias("o_content"), F.col("modified_content").alias("m_content")), "pair_id")
+        # A pair's pages take seconds, so few pairs must not share a task.
+        files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")
         shown = raster.compare_documents(files, parsers.PROVIDERS.get("raster", drawing.pages))
     if images is not None:
         shown = written(shown, "pages")

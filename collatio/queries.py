@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, labels, text
 from .operators import alignment, formatting, matching, raster, similarity, tables
 from .plans import jobs, summary
-from .plans.compare import compare_texts, summarized
-from .plans.scratch import spread
+from .plans.compare import compare_files, compare_texts, summarized
+from .plans.scratch import scratch_path, spread
 from .sources import detect, parsers, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,9 +182,27 @@ def tier_confidence(spark, sf_dir):
     return similarity.tfidf_similarity(_turns(spark, sf_dir)).select("pair_id", "o_idx", "m_idx", labels.tier(s).alias("tier"), labels.confidence(s).alias("confidence"))
 
 
-@query()
+#: Edges taken one after the other, each by its rank: the ids that are used up go along as lists.
+GREEDY = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s DESC, o_idx, m_idx) AS r FROM (SELECT pair_id, o_idx, m_idx, round(sim, 9) AS s FROM sims) WHERE s >= {floor}),
+steps AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS os, CAST([] AS BIGINT[]) AS ms, CAST([] AS DOUBLE[]) AS ss FROM ranked
+  UNION ALL SELECT pair_id, e.r, CASE WHEN free THEN list_append(os, o_idx) ELSE os END, CASE WHEN free THEN list_append(ms, m_idx) ELSE ms END, CASE WHEN free THEN list_append(ss, s) ELSE ss END
+  FROM (SELECT p.pair_id, p.os, p.ms, p.ss, e.r, e.o_idx, e.m_idx, e.s, NOT list_contains(os, o_idx) AND NOT list_contains(ms, m_idx) AS free FROM steps p JOIN ranked e ON e.pair_id = p.pair_id AND e.r = p.r + 1) e),
+taken AS (SELECT pair_id, unnest(os) AS o_idx, unnest(ms) AS m_idx, unnest(ss) AS sim FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY r DESC) = 1))
+"""
+
+
+@query("WITH RECURSIVE " + TURNS + "," + GREEDY.format(floor=0) + " SELECT pair_id, o_idx, m_idx, round(sim, 6) AS sim FROM taken")
 def greedy_matches(spark, sf_dir):
-    return matching.greedy_pairs(similarity.tfidf_similarity(_turns(spark, sf_dir)))
+    edges = similarity.tfidf_similarity(_turns(spark, sf_dir)).withColumn("sim", F.round("sim", 9))
+    return matching.greedy_pairs(edges).withColumn("sim", F.round("sim", 6))
+
+
+@query("WITH RECURSIVE " + TURNS + "," + GREEDY.format(floor=0.3) + " SELECT pair_id, o_idx, m_idx, round(sim, 6) AS sim FROM taken")
+def greedy_matches_in_rounds(spark, sf_dir):
+    """With a floor, in rounds, as for pairs too large for a task."""
+    edges = similarity.tfidf_similarity(_turns(spark, sf_dir)).withColumn("sim", F.round("sim", 9))
+    return matching.greedy_rounds(edges, 0.3, most=2).withColumn("sim", F.round("sim", 6))
 
 
 @query()
@@ -188,10 +210,46 @@ def semantic_matches(spark, sf_dir):
     return matching.semantic_matches(revised(spark, sf_dir))
 
 
+#: What follows from the texts alone: equal paragraphs match, then as many go together as the shorter rest has.
+COUNTED = """
+sizes AS (SELECT pair_id, count(*) FILTER (side = 'o') AS n_o, count(*) FILTER (side = 'm') AS n_m FROM parts GROUP BY pair_id),
+same AS (SELECT pair_id, sum(least(co, cm)) AS exact FROM (SELECT pair_id, text, count(*) FILTER (side = 'o') AS co, count(*) FILTER (side = 'm') AS cm FROM parts GROUP BY ALL) GROUP BY pair_id),
+counted AS (SELECT pair_id, CAST(exact AS BIGINT) AS exact, CAST(least(n_o, n_m) - exact AS BIGINT) AS paired, CAST(n_o - least(n_o, n_m) AS BIGINT) AS removed, CAST(n_m - least(n_o, n_m) AS BIGINT) AS added FROM sizes JOIN same USING (pair_id))
+"""
+
+
+@query("WITH " + PARTS + "," + COUNTED + " SELECT *, true AS consistent FROM counted")
+def semantic_match_counts(spark, sf_dir):
+    """Counts of matches, and whether every row is as its own fields say: tiers and confidence by similarity, places without gaps, texts given back by segments."""
+    rows = matching.semantic_matches(revised(spark, sf_dir))
+    s, kind = F.col("similarity"), F.col("type")
+    scored = kind.isin(*[t for t, _ in labels.TIERS], labels.MAJOR)
+    least = {t: lo for t, lo in labels.TIERS} | {labels.MAJOR: 0.0}
+    above = {t: hi for (t, _), (_, hi) in zip([*labels.TIERS[1:], (labels.MAJOR, 0)], labels.TIERS)} | {labels.TIERS[0][0]: 1.0}
+    fits = F.coalesce(*[F.when(kind == t, s.between(least[t] - 0.00005, above[t] + 0.00005)) for t in least], F.lit(True))
+    whole = (alignment.left_text(F.col("segments")) == F.coalesce("original", F.lit(""))) & (alignment.right_text(F.col("segments")) == F.coalesce("modified", F.lit("")))
+    sides = F.col("o_idx").isNull() == (kind == "added")
+    row = fits & whole & sides & (F.col("m_idx").isNull() == (kind == "removed")) & (scored == F.col("confidence").isNotNull()) & (s.isNull() == kind.isin("added", "removed"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    out = rows.groupBy("pair_id").agg(count(kind == "exact_match", "exact"), count(scored, "paired"), count(kind == "removed", "removed"), count(kind == "added", "added"), F.bool_and(row).alias("rows"), (F.max("pos") + 1 == F.count_distinct("pos")).alias("places"))
+    return out.select("pair_id", "exact", "paired", "removed", "added", (F.col("rows") & F.col("places")).alias("consistent"))
+
+
+@query("WITH " + PARTS + " SELECT pair_id, count(*) AS n, count(*) FILTER (m_idx IS NULL) AS n_removed FROM (SELECT pair_id, o_idx, m_idx FROM exact WHERE o_idx % 2 = 0 UNION ALL SELECT pair_id, idx, NULL FROM parts WHERE side = 'o' AND idx % 3 = 0) GROUP BY pair_id")
+def visible_matches(spark, sf_dir):
+    """Matches with a text on a side are shown, those blank on both are not: exact ones at odd places are blanked here, and some have one side only."""
+    parts = matching.split_pairs(revised(spark, sf_dir))
+    text = F.when(F.col("o_idx") % 2 == 0, F.col("text")).otherwise(F.lit(" 　\n"))
+    rows = matching.exact_matches(parts).select("pair_id", "m_idx", text.alias("original"), text.alias("modified"))
+    rows = rows.unionByName(parts.where("side = 'o' AND idx % 3 = 0").select("pair_id", F.lit(None).cast("int").alias("m_idx"), F.col("text").alias("original"), F.lit(None).cast("string").alias("modified")))
+    shown = rows.groupBy("pair_id").agg(F.collect_list(F.struct("m_idx", "original", "modified")).alias("matches")).select("pair_id", F.explode(summary.visible_matches(F.col("matches"))).alias("m"))
+    return shown.groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if(F.col("m.m_idx").isNull()).alias("n_removed"))
+
+
 @query("""SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS sim,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 5""")
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 5""")
 def vector_cosine_topk(spark, sf_dir):
-    """For every vector whose id is divisible by 50, the five nearest of all vectors. The SQL looks only at those of the query's label."""
+    """For every vector whose id is divisible by 50, the five nearest of all vectors."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return similarity.nearest(e.where("vec_id % 50 = 0"), e, 5)
 
@@ -207,13 +265,23 @@ def token_multiset_ratio(spark, sf_dir):
     return alignment.multiset_ratio(revised(spark, sf_dir)).withColumn("bound", F.round("bound", 9))
 
 
-@query("SELECT doc_id AS pair_id, true AS left_is_original, true AS right_is_modified, true AS within_bound FROM documents")
+@query("SELECT doc_id AS pair_id, true AS left_is_original, true AS right_is_modified, true AS within_bound, true AS counts_agree, true AS ratio_agrees, true AS alternates FROM documents")
 def word_diff_reconstruct(spark, sf_dir):
-    """The segments give both texts back, and no similarity lies above its bound."""
+    """The segments give both texts back and alternate between equal and changed, their counts are the counts given, the similarity follows from the equal ones' tokens and lies below its bound."""
     pairs = revised(spark, sf_dir)
     d = pairs.withColumn("d", alignment.word_diff(F.col("original"), F.col("modified"))).join(alignment.multiset_ratio(pairs), "pair_id")
+    n = lambda t: F.size(text.tokens(t))
+    equal = F.aggregate(F.transform(F.filter("d.segments", lambda x: x["type"] == "equal"), lambda x: n(x["original"])), F.lit(0), lambda a, b: a + b)
+    every = n(F.col("original")) + n(F.col("modified"))
+    counted = F.lit(True)
+    for c in alignment.STATS:
+        counted = counted & (F.size(F.filter("d.segments", lambda x: x["type"] == c)) == F.col(f"d.{c}"))  # noqa: B023
+    kinds = F.transform("d.segments", lambda x: x["type"] == "equal")
+    turns = F.size(F.filter(F.zip_with(kinds, F.slice(kinds, F.lit(2), F.greatest(F.size(kinds) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)) == 0
+    ratio = F.abs(F.col("d.similarity") - F.when(every > 0, 2 * equal / every).otherwise(1.0)) < 0.000051
     return d.select(
-        "pair_id", (alignment.left_text(F.col("d.segments")) == F.col("original")).alias("left_is_original"), (alignment.right_text(F.col("d.segments")) == F.col("modified")).alias("right_is_modified"), (F.col("d.similarity") <= F.col("bound") + 0.0001).alias("within_bound")
+        "pair_id", (alignment.left_text(F.col("d.segments")) == F.col("original")).alias("left_is_original"), (alignment.right_text(F.col("d.segments")) == F.col("modified")).alias("right_is_modified"), (F.col("d.similarity") <= F.col("bound") + 0.0001).alias("within_bound"),
+        counted.alias("counts_agree"), ratio.alias("ratio_agrees"), turns.alias("alternates"),
     )
 
 
@@ -327,17 +395,31 @@ def property_changes(spark, sf_dir):
     return formatting.property_changes(pairs, ["pair_id", "idx"])
 
 
+def _styled_turns(spark, sf_dir):
+    n = F.length("text")
+    return _turns(spark, sf_dir).select("pair_id", "side", F.col("idx").cast("int").alias("idx"), "text", F.concat(F.lit("Font"), (n % 3).cast("string")).alias("font"), (10.0 + n % 2).alias("size"), (n % 5 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color"))
+
+
 @query()
 def formatting_changes(spark, sf_dir):
     """Formats of every conversation's user turns against its assistant turns."""
-    n = F.length("text")
-    parts = _turns(spark, sf_dir).select("pair_id", "side", F.col("idx").cast("int").alias("idx"), "text", F.concat(F.lit("Font"), (n % 3).cast("string")).alias("font"), (10.0 + n % 2).alias("size"), (n % 5 == 0).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color"))
-    return formatting.compare_formats(parts)
+    return formatting.compare_formats(_styled_turns(spark, sf_dir))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity / 4, 1) AS size, l_suppkey % 32 & 16 = 16 AS bold, l_suppkey % 32 & 2 = 2 AS italic, false AS underline, printf('%06X', CAST(l_partkey * 7919 % 16777216 AS BIGINT)) AS color FROM (SELECT *, CAST(l_suppkey AS BIGINT) AS s FROM lineitem) WHERE CAST(l_quantity * 5 AS BIGINT) % 2 = 0")
+@query("WITH RECURSIVE every AS (SELECT conv_id AS pair_id, CASE role WHEN 'user' THEN 'o' ELSE 'm' END AS side, turn AS idx, text FROM conversations)," + UNMATCHED.replace("FROM numbered)", "FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, side, text ORDER BY idx) AS k FROM every))").strip() + "," + TURNS.replace("parts AS (SELECT conv_id AS pair_id, CASE role WHEN 'user' THEN 'o' ELSE 'm' END AS side, turn AS idx, text FROM conversations)", "parts AS (SELECT * FROM unmatched)") + "," + GREEDY.format(floor=0.5) + """,
+styled AS (SELECT t.pair_id, length(o.text) % 3 = length(m.text) % 3 AND length(o.text) % 2 = length(m.text) % 2 AND (length(o.text) % 5 = 0) = (length(m.text) % 5 = 0) AS same FROM taken t JOIN every o ON o.pair_id = t.pair_id AND o.side = 'o' AND o.idx = t.o_idx JOIN every m ON m.pair_id = t.pair_id AND m.side = 'm' AND m.idx = t.m_idx),
+exact AS (SELECT pair_id, sum(least(co, cm)) AS n FROM (SELECT pair_id, text, count(*) FILTER (side = 'o') AS co, count(*) FILTER (side = 'm') AS cm FROM every GROUP BY ALL) GROUP BY pair_id),
+near AS (SELECT pair_id, count(*) FILTER (same) AS same, count(*) FILTER (NOT same) AS other FROM styled GROUP BY pair_id),
+sides AS (SELECT pair_id, count(*) FILTER (side = 'o') AS o, count(*) FILTER (side = 'm') AS m FROM unmatched GROUP BY pair_id)
+SELECT pair_id, CAST(n + coalesce(same, 0) AS BIGINT) AS unchanged, coalesce(other, 0) AS changed, coalesce(m, 0) - coalesce(same, 0) - coalesce(other, 0) AS added, coalesce(o, 0) - coalesce(same, 0) - coalesce(other, 0) AS removed
+FROM exact LEFT JOIN near USING (pair_id) LEFT JOIN sides USING (pair_id)""")
+def formatting_stats(spark, sf_dir):
+    return formatting.format_stats(formatting.compare_formats(_styled_turns(spark, sf_dir)))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(floor(l_quantity / 4) + CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.5 ELSE 0.8 END, 1)::DOUBLE AS size, l_suppkey % 32 & 16 = 16 AS bold, l_suppkey % 32 & 2 = 2 AS italic, false AS underline, printf('%06X', CAST(l_partkey * 7919 % 16777216 AS BIGINT)) AS color FROM lineitem")
 def span_formats(spark, sf_dir):
-    """All of lineitem as spans; odd quantities give sizes at rounding ties. The SQL looks only at even quantities."""
+    """All of lineitem as spans; odd quantities give sizes at rounding ties, which go to the even digit."""
     spans = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4).cast("double").alias("size"), (F.col("l_suppkey") % 32).cast("int").alias("flags"), (F.col("l_partkey") * 7919 % 16777216).cast("long").alias("color"))
     return formatting.span_formats(spans)
 
@@ -374,7 +456,13 @@ def region_percent(spark, sf_dir):
     return _regions(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(out(F.col("x"), F.lit(None), 1224), 6).alias("left_pct"), F.round(out(F.col("w"), F.nullif(F.col("n"), F.lit(0)), 1224), 6).alias("width_pct"))
 
 
-@query()
+@query("WITH RECURSIVE " + REGIONS + """,
+b AS (SELECT l_orderkey, {'min_y': x, 'min_x': n % 200, 'max_y': x + h, 'max_x': n % 200 + w, 'n': n} AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY x, n % 200, x + h, n % 200 + w, n) AS k FROM r),
+c AS (SELECT l_orderkey, k, [b] AS cs FROM b WHERE k = 1
+  UNION ALL SELECT l_orderkey, k, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(cs, b) ELSE list_transform(cs, lambda c, i: CASE WHEN i = hit THEN {'min_y': least(c.min_y, b.min_y), 'min_x': least(c.min_x, b.min_x), 'max_y': greatest(c.max_y, b.max_y), 'max_x': greatest(c.max_x, b.max_x), 'n': c.n + b.n} ELSE c END) END
+  FROM (SELECT c.l_orderkey, b.k, c.cs, b.b, list_position(list_transform(c.cs, lambda c: c.min_y <= b.b.max_y + 8 AND b.b.min_y <= c.max_y + 8 AND c.min_x <= b.b.max_x + 24 AND b.b.min_x <= c.max_x + 24), true) AS hit FROM c JOIN b ON b.l_orderkey = c.l_orderkey AND b.k = c.k + 1)),
+last AS (SELECT l_orderkey, cs FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1)
+SELECT l_orderkey, CAST(number AS INTEGER) AS number, CAST(c.min_y AS INTEGER) AS min_y, CAST(c.min_x AS INTEGER) AS min_x, CAST(c.max_y AS INTEGER) AS max_y, CAST(c.max_x AS INTEGER) AS max_x, CAST(c.n AS INTEGER) AS n FROM (SELECT l_orderkey, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS number FROM last)""")
 def merge_boxes(spark, sf_dir):
     box = F.struct(F.col("x").cast("int").alias("min_y"), (F.col("n") % 200).cast("int").alias("min_x"), (F.col("x") + F.col("h")).cast("int").alias("max_y"), (F.col("n") % 200 + F.col("w")).cast("int").alias("max_x"), F.col("n").cast("int").alias("n"))
     boxes = _regions(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
@@ -382,9 +470,9 @@ def merge_boxes(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT l_orderkey AS k, l_linenumber AS p FROM lineitem WHERE l_quantity > 10), m AS (SELECT l_orderkey AS k, l_linenumber AS p FROM lineitem WHERE l_quantity < 40)
-SELECT coalesce(o.k, m.k) AS pair_id, CAST(coalesce(o.p, m.p) AS INTEGER) AS page, CASE WHEN m.k IS NULL THEN 'only_in_original' WHEN o.k IS NULL THEN 'only_in_modified' ELSE 'compared' END AS status FROM (SELECT * FROM o WHERE p <= 5) o FULL JOIN (SELECT * FROM m WHERE p <= 5) m ON o.k = m.k AND o.p = m.p""")
+SELECT coalesce(o.k, m.k) AS pair_id, CAST(coalesce(o.p, m.p) AS INTEGER) AS page, CASE WHEN m.k IS NULL THEN 'only_in_original' WHEN o.k IS NULL THEN 'only_in_modified' ELSE 'compared' END AS status FROM (SELECT * FROM o WHERE p <= 20) o FULL JOIN (SELECT * FROM m WHERE p <= 20) m ON o.k = m.k AND o.p = m.p""")
 def page_pairing(spark, sf_dir):
-    """Pages of both sides up to the limit of the page diff. The SQL ends at page 5."""
+    """Pages of both sides up to the limit of the page diff."""
     p = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").cast("int").alias("page"), "l_quantity")
     both = raster.paired_pages(p.where("l_quantity > 10"), p.where("l_quantity < 40"))
     status = F.when(F.col("m").isNull(), "only_in_original").when(F.col("o").isNull(), "only_in_modified").otherwise("compared")
@@ -400,9 +488,8 @@ def page_bands(spark, sf_dir):
     return s.select("l_orderkey", "l_linenumber", labels.page_colour(sim).alias("colour"), labels.page_confidence(F.col("score")).alias("confidence"), labels.meter_band(sim).alias("meter"))
 
 
-@query()
-def page_rasters(spark, sf_dir):
-    """A small page for each part, and one with a dark bar on it."""
+def _bars(spark, sf_dir):
+    """A small white page for each part, and one with a dark bar on it, as wide as the part is large."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), "p_size")
     row = lambda pixel, n: F.repeat(F.lit(pixel), n)
     plain = F.unhex(row("FFFFFF", 64 * 48))
@@ -411,6 +498,23 @@ def page_rasters(spark, sf_dir):
     return raster.compare_pages(page(plain), page(bar), assets=False).drop("images")
 
 
+@query("""WITH p AS (SELECT p_partkey AS pair_id, CAST(p_size AS BIGINT) AS w, CASE WHEN p_size < 2 THEN 0 ELSE p_size * 8 END AS n FROM part)
+SELECT pair_id, 1 AS page, 'compared' AS status, CAST(n AS BIGINT) AS changed_pixels, CAST(3072 AS BIGINT) AS total_pixels, round_even(n / 3072 * 100, 4) AS changed_percentage, 64 AS canvas_w, 48 AS canvas_h, '32x24 pt (Landscape)' AS page_size_name,
+  CASE WHEN n = 0 THEN '' ELSE 'p1-r1 0 10 ' || w || ' 8 ' || CASE WHEN w >= 6 THEN 'text' ELSE 'layout' END || ' ' || CASE WHEN n > 153.6 THEN 'high' WHEN n >= 70 THEN 'medium' ELSE 'low' END || ' ' || n END AS regions, true AS differs, true AS keys_servable FROM p""")
+def page_rasters(spark, sf_dir):
+    out = _bars(spark, sf_dir)
+    named = F.transform("regions", lambda r: F.concat_ws(" ", r["id"], r["x"].cast("string"), r["y"].cast("string"), r["width"].cast("string"), r["height"].cast("string"), r["diff_type"], r["severity"], r["pixel_count"].cast("string")))
+    keys = storage.servable(F.col("diff_image_key")) & F.col("similarity").between(0, 1) & (F.abs(F.col("confidence_score") - F.col("similarity") * 100) < 0.051)
+    return out.select("pair_id", "page", "status", "changed_pixels", "total_pixels", "changed_percentage", "canvas_w", "canvas_h", "page_size_name", F.array_join(named, ",").alias("regions"), (F.col("similarity") < 1).alias("differs"), keys.alias("keys_servable"))
+
+
+@query("SELECT p_size, count(*) AS n_pages, count(*) FILTER (p_size >= 2) AS n_regions FROM part GROUP BY p_size")
+def region_totals(spark, sf_dir):
+    """Regions of all pages, by the width of the bar."""
+    sizes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), "p_size")
+    return _bars(spark, sf_dir).join(sizes, "pair_id").groupBy("p_size").agg(F.count("*").alias("n_pages"), F.sum(F.size("regions")).alias("n_regions"))
+
+
 # ---- files, summary, jobs --------------------------------------------------------------------------
 
 
@@ -428,11 +532,96 @@ def format_detect(spark, sf_dir):
     return d.select("page_id", "d.format", F.col("d.error").isNotNull().alias("failed"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 10 IN (0, 1) THEN md5(coalesce(html, '')) END AS text_md5, page_id % 10 IN (3, 7, 8, 9) AS failed FROM pages WHERE page_id % 10 <> 4")
+@query("SELECT page_id, CASE WHEN page_id % 10 IN (0, 1) THEN 'text' WHEN page_id % 10 = 4 THEN 'csv' END AS format, CASE WHEN page_id % 10 IN (0, 1) THEN md5(coalesce(html, '')) END AS text_md5, page_id % 10 NOT IN (0, 1, 4) AS failed FROM pages")
 def extracted_text(spark, sf_dir):
-    """Texts of all pages as files, CSV files too. The SQL leaves these out."""
+    """All pages as files: texts as they are, CSV files as tables (csv_files has their rows), and the PDF and image files, which only begin like such, as errors."""
     out = parsers.extracted(_files(spark, sf_dir))
-    return out.select("page_id", F.when(F.col("doc.format").isin("text", "csv"), F.md5(F.col("doc.text").cast("binary"))).alias("text_md5"), F.col("doc.error").isNotNull().alias("failed"))
+    ok = F.col("doc.error").isNull()
+    return out.select("page_id", F.when(ok, F.col("doc.format")).alias("format"), F.when(ok & (F.col("doc.format") == "text"), F.md5(F.col("doc.text").cast("binary"))).alias("text_md5"), (~ok).alias("failed"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM (SELECT page_id, regexp_replace(coalesce(html, ''), '[",\\r]', ' ', 'g') AS t FROM pages) WHERE t <> ''),
+e AS (SELECT page_id, max(n) FILTER (line <> '') AS last, max(n) AS most FROM l GROUP BY page_id)
+SELECT page_id, CAST(CASE WHEN l2.line = '' THEN most - 1 ELSE most END AS INTEGER) AS n_rows, CAST(count(*) FILTER (l.line <> '') AS INTEGER) AS n_filled FROM l JOIN e USING (page_id) JOIN l l2 ON l2.page_id = l.page_id AND l2.n = most GROUP BY ALL""")
+def csv_files(spark, sf_dir):
+    """Every page without quotes and commas as a CSV file: a row a line, blank lines as rows without cells."""
+    content = F.encode(F.regexp_replace(F.coalesce("html", F.lit("")), '[",\r]', " "), "UTF-8")
+    out = parsers.extracted(read(spark, sf_dir, "pages").select("page_id", F.lit("t.csv").alias("filename"), content.alias("content")))
+    rows = F.col("doc.tables")[0]["rows"]
+    return out.where("doc.text <> '' OR size(doc.warnings) = 0").select("page_id", F.size(rows).alias("n_rows"), F.size(F.filter(rows, lambda r: F.size(r) > 0)).alias("n_filled"))
+
+
+_OFFICE = {
+    "docx": "<w:document xmlns:w='w'><w:body><w:p><w:r><w:t>{0}</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>part </w:t></w:r><w:r><w:t>{1}</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>{1}</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>{0}</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>",
+    "xlsx": "<worksheet><row r='1'><c r='A1' t='inlineStr'><is><t>{0}</t></is></c><c r='C1'><v>{1}</v></c></row><row r='2'/><row r='3'><c r='B3'><f>C1*2</f><v>0</v></c></row></worksheet>",
+    "pptx": "<sld xmlns:a='a'><spTree><sp><txBody><a:p><a:r><a:t>{0}</a:t></a:r></a:p></txBody></sp><graphicFrame><a:tbl><a:tr><a:tc><a:p><a:r><a:t>k</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>{1}</a:t></a:r></a:p></a:tc></a:tr></a:tbl></graphicFrame></spTree></sld>",
+}
+
+
+def _office_file(kind: str, name: str, number: int) -> bytes:
+    """A small office or PDF file that says a name and a number."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    link = lambda to: f"<R><Relationship Id='x' Target='{to}'/></R>"
+    if kind == "pdf":
+        data = zlib.compress(f"BT /F1 12 Tf 72 700 Td ({name} and more words) Tj 0 -30 Td [(num) -10 (ber)] TJ 0 -15 Td <{str(number).encode().hex()}> Tj ET".encode())
+        objects = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Count 1>>", "<</Type/Page/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", None, "<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"]
+        stream = b"<</Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (len(data), data)
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, x.encode() if x else stream) for i, x in enumerate(objects, 1)) + b"trailer <</Root 1 0 R>>"
+    body = _OFFICE[kind].format(name, number)
+    parts = {
+        "docx": {"word/document.xml": body},
+        "xlsx": {"xl/workbook.xml": f"<workbook xmlns:r='{rel}'><sheets><sheet name='S' r:id='x'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": link("worksheets/a.xml"), "xl/worksheets/a.xml": body},
+        "pptx": {"ppt/presentation.xml": f"<p xmlns:r='{rel}'><sldId r:id='x'/></p>", "ppt/_rels/presentation.xml.rels": link("slides/a.xml"), "ppt/slides/a.xml": body},
+    }[kind]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, data in parts.items():
+            z.writestr(path, data)
+    return out.getvalue()
+
+
+def _office_files(spark, sf_dir):
+    """A file of each kind for each supplier; of every seventh only the beginning is there."""
+
+    @F.pandas_udf("binary")
+    def content(kind: pd.Series, name: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series([_office_file(k, t, n)[: None if n % 7 else 25 if k == "pdf" else 200] for k, t, n in zip(kind, name, number)])
+
+    files = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.explode(F.array(*[F.lit(k) for k in ("docx", "xlsx", "pptx", "pdf")])).alias("kind"))
+    return files.select("s_suppkey", "kind", F.concat(F.lit("f."), "kind").alias("filename"), content("kind", "s_name", "s_suppkey").alias("content"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_name AS s, unnest(['docx', 'xlsx', 'pptx', 'pdf']) AS kind, s_suppkey % 7 = 0 AS failed, CAST(s_suppkey AS VARCHAR) AS n, chr(10) AS br FROM supplier)
+SELECT s_suppkey, kind, failed, CASE WHEN failed THEN NULL WHEN kind = 'docx' THEN s || br || 'part ' || n || br || n || ' | ' || s WHEN kind = 'xlsx' THEN 'S: ' || s || ' |  | ' || n || br || 'S:  | =C1*2 | ' WHEN kind = 'pptx' THEN 'Slide 1:' || br || s || br || 'k | ' || n ELSE s || ' and more words' || br || 'number' || br || n END AS text,
+  CASE WHEN failed THEN NULL WHEN kind = 'xlsx' THEN 'S' WHEN kind = 'pptx' THEN 'Slide 1 table' ELSE '' END AS tables FROM f""")
+def office_texts(spark, sf_dir):
+    """Word, Excel, PowerPoint and PDF files, cut ones among them, read back."""
+    out = parsers.extracted(_office_files(spark, sf_dir))
+    ok = F.col("doc.error").isNull()
+    return out.select("s_suppkey", "kind", (~ok).alias("failed"), F.when(ok, F.col("doc.text")).alias("text"), F.when(ok, F.array_join("doc.tables.name", ",")).alias("tables"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_suppkey % 7 = 0 AS failed FROM supplier)
+SELECT s_suppkey, CASE WHEN failed THEN 'failed' ELSE 'done' END AS status, CASE WHEN NOT failed THEN 'changed 1,removed 1,added 1' END AS formats, CASE WHEN NOT failed THEN 1 END AS n_pages, CASE WHEN NOT failed THEN true END AS pages_differ FROM f""")
+def compared_files(spark, sf_dir):
+    """Each supplier's PDF file against its Word file: status, formatting and pages."""
+    files = _office_files(spark, sf_dir)
+    side = lambda kind, name: files.where(F.col("kind") == kind).select(F.col("s_suppkey").alias("pair_id"), F.col("filename").alias(f"{name}_name"), F.col("content").alias(f"{name}_content"))
+    out = compare_files(side("pdf", "original").join(side("docx", "modified"), "pair_id"))
+    kinds = F.array_join(F.flatten(F.array(*[F.transform(F.filter("formatting_diff.changes", lambda c: c["type"] == t), lambda c: F.concat(c["type"], F.lit(" 1"))) for t in ("unchanged", "changed", "removed", "added")])), ",")  # noqa: B023
+    return out.select(F.col("pair_id").alias("s_suppkey"), "status", kinds.alias("formats"), F.when(F.col("visual_diff").isNotNull(), F.size("visual_diff")).alias("n_pages"), (F.col("visual_diff")[0]["similarity"] < 1).alias("pages_differ"))
+
+
+@query("""SELECT page_id, 'diffs/' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) || '.png' AS key, md5(coalesce(html, '')) AS content_md5, CASE page_id % 3 WHEN 0 THEN 'failed' ELSE 'done' END AS status FROM (SELECT *, sha256(coalesce(html, '')) AS d FROM pages)""")
+def stored_results(spark, sf_dir):
+    """Every page stored as an object under its key, and a result row of one run that names it; both read back."""
+    content = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = read(spark, sf_dir, "pages").select("page_id", content.alias("content"), storage.diff_key(content).alias("key"), F.when(F.col("page_id") % 3 == 0, "failed").otherwise("done").alias("status"))
+    path = scratch_path(spark, "stored")
+    storage.put_objects(rows, f"{path}/objects")
+    storage.write_results(rows.select("page_id", "key", "status"), f"{path}/results", "first")
+    results = spark.read.parquet(f"{path}/results").where("run = 'first'").select("page_id", "key", "status")
+    return results.join(storage.get_objects(spark, f"{path}/objects", results), "key").select("page_id", "key", F.md5("content").alias("content_md5"), "status")
 
 
 @query("""SELECT n_regionkey, string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_name || ', quoted', chr(10) ORDER BY n_nationkey) AS text, CAST(count(*) AS INTEGER) AS n_rows FROM nation GROUP BY n_regionkey""")
@@ -513,14 +702,32 @@ def _turn_pairs(spark, sf_dir):
     return turns.groupBy(F.col("conv_id").alias("pair_id")).agg(pick("user", "original"), pick("assistant", "modified"))
 
 
-@query()
+#: The paragraphs of both sides of a conversation: blocks between blank lines, or the lines if there is one block.
+TALKS = """
+said AS (SELECT conv_id AS pair_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS o, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS m FROM conversations GROUP BY conv_id),
+sides AS (SELECT pair_id, 'o' AS side, coalesce(o, '') AS t FROM said UNION ALL SELECT pair_id, 'm', coalesce(m, '') FROM said),
+split AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda l: trim(l, E' \\t\\n\\r')), lambda l: l <> '') AS bs, list_filter(list_transform(string_split_regex(t, '\\r\\n|[\\n\\r]'), lambda l: trim(l, E' \\t\\n\\r')), lambda l: l <> '') AS ls FROM sides),
+parts AS (SELECT pair_id, side, unnest(CASE WHEN len(bs) > 1 THEN bs ELSE ls END) AS text FROM split),
+"""
+
+
+@query("WITH " + TALKS + COUNTED + """, blank AS (SELECT pair_id, count(*) FILTER (trim(t, E' \\t\\n\\r') <> '') < 2 AS blank, count(*) FILTER (length(t) > 100000) > 0 AS over FROM sides GROUP BY pair_id)
+SELECT pair_id, CASE WHEN over THEN 'failed' ELSE 'done' END AS status, CASE WHEN NOT blank THEN exact END AS exact, CASE WHEN NOT blank THEN paired END AS paired, CASE WHEN NOT blank THEN removed END AS removed, CASE WHEN NOT blank THEN added END AS added, 0 AS n_warnings, true AS consistent FROM blank LEFT JOIN counted USING (pair_id)""")
 def compared_texts(spark, sf_dir):
     """All layers on each conversation's user side against its assistant side."""
     out = compare_texts(_turn_pairs(spark, sf_dir))
-    return out.select("pair_id", "status", "error", "similarity", "stats", F.size("segments").alias("n_segments"), "warnings", F.col("semantic_diff.stats").alias("meaning"))
+    stats = F.col("semantic_diff.stats")
+    paired = sum((stats[t] for t, _ in labels.TIERS), stats[labels.MAJOR])
+    sums = F.col("stats.added") + F.col("stats.removed") + F.col("stats.replaced") + F.col("stats.equal") == F.size("segments")
+    kept = F.size("semantic_diff.matches") == stats["exact_match"] + paired + stats["removed"] + stats["added"]
+    plain = F.col("table_diff").isNull() & F.col("formatting_diff").isNull() & F.col("visual_diff").isNull()
+    consistent = sums & F.col("similarity").between(0, 1) & plain & F.coalesce(kept, F.lit(True)) & F.col("error").isNull()
+    return out.select("pair_id", "status", stats["exact_match"].alias("exact"), paired.alias("paired"), stats["removed"].alias("removed"), stats["added"].alias("added"), F.size("warnings").alias("n_warnings"), consistent.alias("consistent"))
 
 
-@query()
+@query("WITH " + TALKS + COUNTED + """, n AS (SELECT pair_id, blank, CASE WHEN blank THEN 0 ELSE paired + removed + added END AS n FROM (SELECT pair_id, count(*) FILTER (trim(t, E' \\t\\n\\r') <> '') < 2 AS blank FROM sides GROUP BY pair_id) LEFT JOIN counted USING (pair_id))
+SELECT pair_id, n AS n_meaning, CASE WHEN n = 0 THEN '' ELSE n || ' paragraph with a meaning change' || CASE n WHEN 1 THEN '' ELSE 's' END END AS said, CASE WHEN blank THEN 'text' ELSE 'text,meaning' END AS tabs, true AS adds_up FROM n""")
 def summarized_texts(spark, sf_dir):
     out = summarized(compare_texts(_turn_pairs(spark, sf_dir)))
-    return out.select("pair_id", "similarity", "total_changes", "sentence", "tabs")
+    said = F.regexp_extract("sentence", r"(\d+ paragraph with a meaning changes?)", 1)
+    return out.select("pair_id", "n_meaning", said.alias("said"), F.array_join("tabs", ",").alias("tabs"), (F.col("total_changes") == F.col("n_text") + F.col("n_meaning")).alias("adds_up"))
