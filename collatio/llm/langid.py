@@ -13,6 +13,8 @@ from .common import table
 
 #: Most labelled documents of a language that the field is trained on, its rounds, and words of a training sequence.
 SAMPLE, ROUNDS, SEQUENCE, SEED = 250, 40, 64, 17
+#: Most runs of half a sequence that one document gives, and the decay of the weights.
+RUNS, DECAY = 64, 0.1
 GRAMS, RARE = (1, 2, 3, 4), 2
 CACHED_TYPES, WORDS_AT_ONCE = 300_000, 600_000
 UNKNOWN = "und"
@@ -189,26 +191,44 @@ def trained(samples: list[tuple[str, str]], langs: list[str], seed: int = SEED,
     wanted = np.zeros((len(per_type), k))
     np.add.at(wanted, (flat, truth), 1.0)
     for _ in range(rounds):
-        emit = np.stack([np.bincount(row, weights[column, c], len(per_type)) for c in range(k)], 1)
-        emit = np.exp(emit - emit.max(1, keepdims=True))
-        pairs = np.zeros((k, k))
-        p = forward_backward(emit[flat], lengths, np.exp(trans), pairs)
-        miss = wanted - np.stack([np.bincount(flat, p[:, c], len(per_type)) for c in range(k)], 1)
-        grad = np.stack([np.bincount(column, miss[row, c], len(index)) for c in range(k)], 1) - 0.1 * weights
-        squares_w += grad**2
-        weights += 0.3 * grad / np.sqrt(squares_w)
-        grad = gold_pairs - pairs - 0.1 * trans
-        squares_t += grad**2
-        trans += 0.3 * grad / np.sqrt(squares_t)
+        grad_w, grad_t = gradient(weights, trans, flat, lengths, row, column, wanted, gold_pairs)
+        squares_w += grad_w**2
+        weights += 0.3 * grad_w / np.sqrt(squares_w)
+        squares_t += grad_t**2
+        trans += 0.3 * grad_t / np.sqrt(squares_t)
     return Field(langs, index, weights, trans)
 
 
+def gradient(weights, trans, flat, lengths, row, column, wanted, gold_pairs, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
+    """Of the labelled sequences' log-likelihood, less ``decay`` / 2 times the squares: true counts less expected ones, for features and for transitions.
+
+    ``flat`` are the words' types, sequence after sequence; type ``row[i]`` has feature ``column[i]``; ``wanted`` counts a type's true labels, ``gold_pairs`` true transitions.
+    """
+    k, n = trans.shape[0], len(wanted)
+    emit = np.stack([np.bincount(row, weights[column, c], n) for c in range(k)], 1)
+    emit = np.exp(emit - emit.max(1, keepdims=True))
+    pairs = np.zeros((k, k))
+    p = forward_backward(emit[flat], lengths, np.exp(trans), pairs)
+    miss = wanted - np.stack([np.bincount(flat, p[:, c], n) for c in range(k)], 1)
+    grad = np.stack([np.bincount(column, miss[row, c], len(weights)) for c in range(k)], 1)
+    return grad - decay * weights, gold_pairs - pairs - decay * trans
+
+
+def drawn(text: str, seed: int = SEED) -> str:
+    """The text's words, or RUNS runs of SEQUENCE / 2 words from all over it if it has more, in order."""
+    words, step = _LETTERS.findall(text.lower()), SEQUENCE // 2
+    n = -(-len(words) // step)
+    if n > RUNS:
+        words = [w for k in sorted(np.random.default_rng(seed).choice(n - 1, RUNS, replace=False)) for w in words[k * step : (k + 1) * step]]
+    return " ".join(words)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Trains on at most ``sample`` documents of each language that are not held out, the first by a seeded hash of the id; their texts come to the driver."""
+    """Trains on at most ``sample`` documents of each language that are not held out, the first by a seeded hash of the id; of a document at most RUNS runs of words, drawn by chance, come to the driver."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -218,7 +238,13 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     chance = F.lit(0.0)
     for x in langs:
         chance = F.when(F.col("lang") == x, min(1.0, 1.3 * sample / counts[x] + 1e-9)).otherwise(chance)
-    rows = known.select("text", "lang", h.alias("h")).where(F.col("h") < chance).orderBy("h", "text").limit(2 * sample * len(langs)).collect()
+
+    def cut(batches):
+        for b in batches:
+            yield pd.DataFrame({"text": [drawn(t) for t in b.text], "lang": b.lang.array, "h": b.h.array})
+
+    some = known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), h.alias("h")).where(F.col("h") < chance)
+    rows = some.mapInPandas(cut, "text string, lang string, h double").orderBy("h", "text").limit(2 * sample * len(langs)).collect()
     taken: dict[str, int] = {}
     samples = []
     for r in rows:
