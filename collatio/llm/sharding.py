@@ -20,7 +20,9 @@ def shard_rows(df: DataFrame, n_shards: int = SHARDS, stratum: str = "source", k
     give the offsets. Null strata form a stratum of their own; null keys are hashed as they are; ties
     (repeated rows) fall in an order that does not matter, as they are equal; an empty table gives no rows.
     """
-    own = df.drop("shard", "slot")
+    given = df.drop("shard", "slot")
+    names = {c: f"c_{i}" for i, c in enumerate(given.columns)}  # apart from the columns added here, whatever the given names
+    own, stratum, keys = given.toDF(*names.values()), names[stratum], tuple(names[c] for c in keys)
     base = own.select(
         "*",
         F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("n")).alias("__s"),
@@ -48,7 +50,7 @@ def shard_rows(df: DataFrame, n_shards: int = SHARDS, stratum: str = "source", k
     placed = ranked.join(offsets, "__c").withColumn("__pos", place)
     placed = placed.withColumn("shard", F.expr(f"cast((__pos * {n_shards}) div __rows as int)"))
     placed = placed.withColumn("slot", F.expr(f"__pos - (shard * __rows + {n_shards - 1}) div {n_shards}"))
-    return placed.select(*[own[c] for c in own.columns], "shard", "slot")
+    return placed.select(*[F.col(to).alias(c) for c, to in names.items()], "shard", "slot")
 
 
 def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
