@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled, table
+from .common import hot_from, salted, sampled, table
 
 #: (host and path, verdict); a rule's host is up to its first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 SAMPLE, TREES, DEPTH, RATE, SUFFIXES, SEED = 2000, 24, 3, 0.3, 64, 5
+#: Most rules that become one expression; more are joined with the urls' hosts and paths.
 MOST_RULES = 500
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,9 +29,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; nulls where none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """The longest rule that fits (of equal ones the first by text), and its verdict; nulls where none does."""
     rule = verdict = None
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         of, slash, rest = text.partition("/")
@@ -40,6 +39,23 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def rules_joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (__url, host, path, ..) with ``rule`` and ``__says`` as by rule_for, for any number of rules (rule, verdict): equality joins of the host's suffixes, then of the path's beginnings, of each different place once.
+
+    Of a path only beginnings as long as a rule's of the same host are looked up. A rule that is given with both verdicts allows. Places that very many urls share are dealt over several tasks.
+    """
+    host = F.substring_index("rule", "/", 1)
+    rules = rules.groupBy("rule").agg(F.min("verdict").alias("says")).select("rule", "says", host.alias("of"), F.substring(F.col("rule"), F.length(host) + 1, F.length("rule")).alias("begins"))
+    lengths = rules.groupBy("of").agg(F.collect_set(F.length("begins")).alias("lengths"))
+    places = urls.groupBy("host", "path").agg(F.count("*").alias("c"))
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
+    asked = places.select("host", "path", F.explode(suffixes).alias("of")).join(lengths, "of").select("host", "path", "of", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    fits = asked.select("host", "path", "of", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("begins")).join(rules, ["of", "begins"])
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "says")).alias("x")).select("host", "path", F.col("x.rule").alias("rule"), F.col("x.says").alias("__says"))
+    every = places.join(best, ["host", "path"], "left").drop("c")
+    return salted(urls, every, ["host", "path"], places.where(F.col("c") > hot_from(urls.count())), ["page_id", "__url"])
+
+
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "secure", "path_length", "extension")
 
 
@@ -131,10 +147,10 @@ def _suffix_columns(stats, other) -> list[Column]:
     return out
 
 
-def judged_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+def judged_urls(pages: DataFrame, rules: tuple | list | DataFrame = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score (probability of block) of every page.
 
-    ``labelled`` has (url, verdict); without it the urls that a rule decides serve as labels. At most ``sample`` different urls of either verdict, the
+    ``rules`` are (rule, verdict) pairs or such a table, of any number. ``labelled`` has (url, verdict); without it the urls that a rule decides serve as labels. At most ``sample`` different urls of either verdict, the
     first by a seeded hash, come to the driver as features to train on; with one verdict only, no tree is grown and the
     method allows. Null urls and such without ``://`` have empty host and path and get the trees' verdict; repeated rows and
     null ids are kept; columns besides page_id and url are ignored.
@@ -145,8 +161,12 @@ def judged_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
         return df.select("*", host.alias("host"), path.alias("path"))
 
     own = parts(pages.select("page_id", "url"), "page_id")
-    rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    own = own.select("*", rule.alias("rule"), says.alias("__says"))
+    if not isinstance(rules, DataFrame) and len(rules) <= MOST_RULES:
+        rule, says = rule_for(F.col("host"), F.col("path"), rules)
+        own = own.select("*", rule.alias("rule"), says.alias("__says"))
+    else:
+        given = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+        own = rules_joined(own, given.select("rule", "verdict"))
     taught = own.select("__url", "host", "path", F.col("__says").alias("label")) if labelled is None else parts(labelled, "verdict").select("__url", "host", "path", F.col("verdict").alias("label"))
     rows = []
     for label in ("allow", "block"):
