@@ -245,6 +245,56 @@ def test_languages(spark):
     assert langid.identified(docs, langid.fitted(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_gradient_by_differences():
+    """Of the log-likelihood by enumeration of all labellings, for every weight and transition."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    k, types, features, lengths = 2, 4, 3, np.array([3, 2])
+    row, column = np.array([0, 0, 1, 2, 3, 3]), np.array([0, 1, 1, 2, 0, 2])
+    flat, truth = rng.integers(0, types, 5), rng.integers(0, k, 5)
+    wanted, gold = np.zeros((types, k)), np.zeros((k, k))
+    np.add.at(wanted, (flat, truth), 1.0)
+    for a, b in ((0, 1), (1, 2), (3, 4)):
+        gold[truth[a], truth[b]] += 1
+
+    def value(w, t):
+        score = np.array([[sum(w[c, s] for r, c in zip(row, column) if r == x) for s in range(k)] for x in flat])
+        total, at = -0.05 * ((w**2).sum() + (t**2).sum()), 0
+        for n in lengths:
+            path_score = lambda p: sum(score[at + i, x] for i, x in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += path_score(truth[at : at + n]) - np.log(sum(np.exp(path_score(p)) for p in itertools.product(range(k), repeat=int(n))))
+            at += n
+        return total
+
+    w, t = rng.normal(size=(features, k)), rng.normal(size=(k, k))
+    got = langid.gradient(w, t, flat, lengths, row, column, wanted, gold, decay=0.1)
+    for x, g in ((w, got[0]), (t, got[1])):
+        for i in np.ndindex(x.shape):
+            old = x[i]
+            x[i] = old + 1e-5
+            up = value(w, t)
+            x[i] = old - 1e-5
+            down = value(w, t)
+            x[i] = old
+            assert abs((up - down) / 2e-5 - g[i]) < 1e-5
+
+
+def test_languages_of_odd_tables(spark, empty):
+    docs = spark.createDataFrame([(i, "the thing with shall" if i % 2 else "nicht über ung", "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    field = langid.fitted(docs)
+    rows = [(1, "the thing " * 60_000, "x"), (2, "nicht über", "x"), (2, "nicht über", "x"), (None, "shall", None)]
+    odd = spark.createDataFrame([(*r, "p", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = collections.Counter((r.doc_id, r.lang_pred) for r in langid.identified(odd, field).collect())
+    assert got == collections.Counter([(1, "en"), (2, "de"), (2, "de"), (None, "en")])
+    assert langid.identified(empty, field).count() == 0
+    long = langid.drawn("word " * 100_000)
+    assert len(long.split()) == langid.RUNS * langid.SEQUENCE // 2 and langid.drawn("a b 1 c") == "a b c"
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}x{'y' * (i // 600)}" for i in range(6000)]
+    taken = langid.drawn(" ".join(words)).split()
+    assert len(taken) == langid.RUNS * 32 and [words.index(w) for w in taken[::32]] == sorted(words.index(w) for w in taken[::32]) and max(words.index(w) for w in taken) > 4500
+
+
 # ---- 5 ----
 
 
@@ -279,22 +329,103 @@ def test_labelled_urls_are_learned(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
 
 
+def test_rules_joined_as_in_one_expression(spark, monkeypatch):
+    rnd = random.Random(15)
+    hosts = ["com", "a.com", "b.a.com", "net", "", "x.net", "é.org", "com."]
+    rules = [(h + "/" * (i % 2) + "".join(rnd.choice("ab/") for _ in range(rnd.randrange(4))), rnd.choice(["allow", "block"])) for i, h in enumerate(rnd.choices(hosts, k=60))]
+    rules = list(dict(sorted(rules, reverse=True)).items())
+    rows = [(i, f"http://{rnd.choice(['', 'w.', 'a.', '.'])}{rnd.choice(hosts)}/{''.join(rnd.choice('ab/') for _ in range(rnd.randrange(6)))}") for i in range(400)]
+    rows += [(1, None), (2, "none"), (3, "http://a.com/ab"), (3, "http://a.com/ab"), (4, "http://a.com/" + "ab" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("x")).withColumn("says", F.lit("y"))
+    seen = lambda d: collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule is not None else None) for r in d.collect())
+    want = seen(urls.judged_urls(df, rules))
+    assert sum(k[3] is not None for k in want) > 50
+    monkeypatch.setattr(urls, "MOST_RULES", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert seen(urls.judged_urls(df, rules)) == want
+    assert seen(urls.judged_urls(df, spark.createDataFrame(rules, "rule string, verdict string"))) == want
+
+
+def test_tree_growing_by_trying_every_cut():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 5, (40, 3)).astype(float), rng.integers(0, 2, 40).astype(float)
+    trees = urls.BoostedTrees(x, y, trees=1, depth=1)
+    p = np.full(40, y.mean())
+    grad, hess = y - p, p * (1 - p)
+    score = lambda some: grad[some].sum() ** 2 / (hess[some].sum() + 1)
+    gains = {(f, c): score(x[:, f] < c) + score(x[:, f] >= c) for f in range(3) for c in (0.5, 1.5, 2.5, 3.5)}
+    f, cut, left, right = trees.trees[0]
+    assert gains[f, cut] == pytest.approx(max(gains.values()))
+    assert (left, right) == (pytest.approx(grad[x[:, f] < cut].sum() / (hess[x[:, f] < cut].sum() + 1)), pytest.approx(grad[x[:, f] >= cut].sum() / (hess[x[:, f] >= cut].sum() + 1)))
+
+
+def test_held_out_urls_of_other_labels(spark):
+    """Labels that no rule gives: long, numeric, hyphenated urls under few suffixes are bad, with a tenth of the labels wrong; learned from half."""
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9)))
+    rows = []
+    for i in range(1200):
+        bad = i % 2
+        host = f"{'-'.join(word() for _ in range(1 + 2 * bad))}{rnd.randrange(10**5) if bad else ''}.{rnd.choice(['xyz', 'info', 'com'] if bad else ['org', 'edu', 'com'])}"
+        path = "/".join(word() for _ in range(rnd.randrange(1, 4))) + (f"?{word()}={rnd.randrange(10**9)}&{word()}={rnd.randrange(10**9)}" if bad and rnd.random() < 0.7 else "")
+        rows.append((i, f"http://{host}/{path}", "block" if bad != (rnd.random() < 0.1) else "allow", bad))
+    labelled = spark.createDataFrame([(u, v) for i, u, v, _ in rows if i < 600], "url string, verdict string")
+    got = {r.page_id: r.verdict for r in urls.judged_urls(spark.createDataFrame([(i, u) for i, u, _, _ in rows if i >= 600], "page_id long, url string"), rules=(), labelled=labelled).collect()}
+    assert np.mean([(got[i] == "block") == bool(bad) for i, _, _, bad in rows if i >= 600]) > 0.95
+
+
+def test_urls_with_one_verdict_and_odd_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/x"), (1, "http://a.com/en/x"), (None, "http://b.com/en/" + "z" * 200_000)], "page_id long, url string")
+    got = urls.judged_urls(df).collect()
+    assert len(got) == 3 and all(r.verdict == "block" and r.rule == "com/en/" for r in got)
+    one = spark.createDataFrame([("http://x/", "block")], "url string, verdict string")
+    assert [r.verdict for r in urls.judged_urls(spark.createDataFrame([(1, "http://q/")], "page_id long, url string"), labelled=one).collect()] == ["allow"]
+
+
 # ---- 6 ----
 
 
+def plain_records(data):
+    """(header fields, block) of each record of a WARC file, read byte by byte as the format says."""
+    out = []
+    while data:
+        head, _, data = data.partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        assert first == "WARC/1.1"
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert len(fields) == len(lines) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(fields) and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+        size = int(fields["Content-Length"])
+        out.append((fields, data[:size]))
+        assert data[size : size + 4] == b"\r\n\r\n"
+        data = data[size + 4 :]
+    return out
+
+
 def test_archive_round_trip(spark, tmp_path):
     big, small = "x" * 999 + "é", "tiny"
-    rows = [(1, "http://a/", big), (5, "http://b\r\n/", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (None, "u", big), (5, "http://b/", big), (None, "v", "y" * 1000)]
+    rows = [(1, "http://a/", big), (5, "http://b\r\n/", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (None, "u", big), (5, "http://b/", big), (None, "v", "y" * 1000), (9, "long", "z" * 3_000_000)]
     df = spark.createDataFrame([(*r, "z", "q") for r in rows], "page_id long, url string, html string, sha256 string, payload string")
-    warc.write_archive(df, str(tmp_path / "a"))
+    warc.write_archive(df, str(tmp_path / "a"), date="2020-01-02T03:04:05Z")
     out = warc.read_archive(spark, str(tmp_path / "a")).collect()
-    assert len(out) == len(rows) and spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
+    assert len(out) == len(rows) and spark.read.parquet(str(tmp_path / "a/payloads")).count() == 5
     for r in out:
         raw = bytes(r.payload)
         assert r.payload_digest == hashlib.sha1(raw).hexdigest() and r.payload_bytes == len(raw) and bytes(r.record) == bytes(r.header) + (raw if r.record_type == "response" else b"") + b"\r\n\r\n"
-        assert bytes(r.header).count(b"\r\n\r\n") == 1
         want = ("revisit", 5) if raw == big.encode() and r.page_id != 5 else ("response", None)
         assert (r.record_type, r.refers_to) == want
+    records = plain_records(b"".join(bytes(r.record) for r in out))
+    ids = {h["WARC-Record-ID"]: (h, body) for h, body in records}
+    assert len(records) == len(ids) == len(rows)
+    for h, body in records:
+        assert h["WARC-Date"] == "2020-01-02T03:04:05Z" and h["Content-Type"] == "application/http; msgtype=response" and re.fullmatch(r"[!-~\u00a0-\uffff]+", h["WARC-Target-URI"])
+        top, _, payload = body.partition(b"\r\n\r\n")
+        assert top.startswith(b"HTTP/1.1 200 OK\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", top)[1])
+        if h["WARC-Type"] == "revisit":
+            of, source = ids[h["WARC-Refers-To"]]
+            assert payload == b"" and h["WARC-Profile"].endswith("identical-payload-digest") and of["WARC-Type"] == "response" and (of["WARC-Target-URI"], of["Page-ID"]) == (h["WARC-Refers-To-Target-URI"], "5")
+            payload = source.partition(b"\r\n\r\n")[2]
+        assert len(payload) == size and h["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
     warc.write_archive(df.limit(0), str(tmp_path / "b"))
     assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
 
@@ -326,6 +457,37 @@ def test_forest_parts_bad_from_good(spark, empty):
     assert quality.judged(empty, labels).count() == 0
 
 
+def test_forest_by_a_plain_form(spark):
+    """Path lengths by walking each tree, scores by the formula, the threshold by trying every value."""
+    rng = np.random.default_rng(7)
+    good, bad = rng.normal(size=(120, 3)), rng.normal(size=(60, 3)) + [3, 0, 0]
+    forest = quality.IsolationForest(good, (np.minimum(good.min(0), bad.min(0)), np.maximum(good.max(0), bad.max(0))), trees=20, points=64)
+
+    def mean_path(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def walk(node, x):
+        while forest.left[node] >= 0:
+            node = forest.left[node] if x[forest.feature[node]] < forest.cut[node] else forest.right[node]
+        return forest.depth[node]
+
+    for x in (*good[:10], *bad[:10]):
+        assert forest.score(x[None])[0] == pytest.approx(2 ** -(np.mean([walk(r, x) for r in forest.roots]) / mean_path(64)))
+    depths = [forest.depth[i] for i in range(len(forest.left)) if forest.left[i] < 0]
+    assert all(any(abs(d - k - mean_path(n)) < 1e-9 for k in range(13) for n in range(65)) for d in depths)
+
+    v = vocabulary()
+    rnd = random.Random(17)
+    texts = [(i, " ".join(rnd.choice(v) for _ in range(80))) for i in range(90)] + [(i, " ".join(rnd.choice(v) + rnd.choice(["!!", "", "$"]) for _ in range(80))) for i in range(100, 140)]
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    grown, threshold = quality.fitted(frame(spark, texts), labels, loss=0.05)
+    score = {i: grown.score(np.array([quality.rule_stats(t)[1]]))[0] for i, t in texts}
+    g, b = [s for i, s in score.items() if i < 100], [s for i, s in score.items() if i >= 100]
+    lost = lambda t: np.mean([s > t for s in g])
+    worth = {t: np.mean([s > t for s in b]) - lost(t) for t in {*g, *b} if lost(t) <= 0.05}
+    assert lost(threshold) <= 0.05 and np.mean([s > threshold for s in b]) - lost(threshold) == pytest.approx(max(worth.values()))
+
+
 # ---- 8 ----
 
 
