@@ -20,10 +20,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, read again: what follows does not compute it anew, and lost executors cost nothing of it."""
-    path = scratch_path(df.sparkSession, name)
+    """df as a Parquet table, read again: what follows does not compute it anew, and lost executors cost nothing of it. The table goes when the session's JVM ends."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, per_core: int = 4) -> DataFrame:

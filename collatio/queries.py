@@ -174,11 +174,11 @@ def tfidf_cosine(spark, sf_dir):
     return similarity.tfidf_similarity(_turns(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query("WITH " + TURNS + """, r AS (SELECT pair_id, o_idx, m_idx, round(sim, 5) AS s FROM sims)
+@query("WITH " + TURNS + """, r AS (SELECT pair_id, o_idx, m_idx, round(sim, 12) AS s FROM sims)
 SELECT pair_id, o_idx, m_idx, CASE WHEN s >= 0.95 THEN 'minor_wording_change' WHEN s >= 0.8 THEN 'semantically_similar' WHEN s >= 0.55 THEN 'meaningful_change' ELSE 'major_change' END AS tier,
   CASE WHEN least(abs(s - 0.95), abs(s - 0.8), abs(s - 0.55)) > 0.05 THEN 'high' ELSE 'low' END AS confidence FROM r""")
 def tier_confidence(spark, sf_dir):
-    s = F.round("sim", 5)
+    s = F.round("sim", 12)  # sums in another order differ beyond
     return similarity.tfidf_similarity(_turns(spark, sf_dir)).select("pair_id", "o_idx", "m_idx", labels.tier(s).alias("tier"), labels.confidence(s).alias("confidence"))
 
 
@@ -322,21 +322,18 @@ diffs AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY gap,
 
 @query("WITH " + ORDER_ROWS + " SELECT o_custkey, seq, type, CAST(o_idx AS INTEGER) AS o_idx, CAST(m_idx AS INTEGER) AS m_idx FROM diffs")
 def table_row_diff(spark, sf_dir):
-    out, _ = tables.fast_row_diff(_order_rows(spark, sf_dir), ["o_custkey"])
-    return out.select("o_custkey", "seq", "type", "o_idx", "m_idx")
+    return tables.any_row_diff(_order_rows(spark, sf_dir), ["o_custkey"]).select("o_custkey", "seq", "type", "o_idx", "m_idx")
 
 
 @query("WITH " + ORDER_ROWS + """, c AS (SELECT o_custkey, o_idx, a, b, unnest(range(0, greatest(len(a), len(b)))) AS col FROM diffs WHERE type = 'modified')
 SELECT o_custkey, CAST(o_idx AS INTEGER) AS row, CAST(col AS INTEGER) AS col, coalesce(a[col + 1], '') AS original, coalesce(b[col + 1], '') AS modified FROM c WHERE coalesce(a[col + 1], '') <> coalesce(b[col + 1], '')""")
 def table_cell_changes(spark, sf_dir):
-    out, _ = tables.fast_row_diff(_order_rows(spark, sf_dir), ["o_custkey"])
-    return out.select("o_custkey", F.inline("cell_changes"))
+    return tables.any_row_diff(_order_rows(spark, sf_dir), ["o_custkey"]).select("o_custkey", F.inline("cell_changes"))
 
 
 @query("WITH " + ORDER_ROWS + " SELECT o_custkey, " + ", ".join(f"count(*) FILTER (type = '{t}') AS {t}" for t in tables.STATS) + " FROM diffs GROUP BY o_custkey")
 def table_stats(spark, sf_dir):
-    out, _ = tables.fast_row_diff(_order_rows(spark, sf_dir), ["o_custkey"])
-    return tables.row_stats(out, ["o_custkey"])
+    return tables.row_stats(tables.any_row_diff(_order_rows(spark, sf_dir), ["o_custkey"]), ["o_custkey"])
 
 
 @query("WITH " + ORDER_ROWS + " SELECT o_custkey, seq, type, CAST(o_idx AS INTEGER) AS o_idx, CAST(m_idx AS INTEGER) AS m_idx FROM diffs")
@@ -386,11 +383,14 @@ def dominant_format(spark, sf_dir):
 
 
 @query("WITH " + FORMATS + """, p AS (SELECT pair_id, idx, unnest([{'prop': 'font', 'a': font, 'b': CASE WHEN idx % 3 = 1 THEN 'Arial' ELSE font END}, {'prop': 'bold', 'a': CAST(bold AS VARCHAR), 'b': CAST(bold OR idx % 2 = 1 AS VARCHAR)},
+  {'prop': 'size', 'a': CAST(size AS VARCHAR), 'b': CAST(CASE WHEN idx % 4 = 1 THEN size + 0.5 ELSE size END AS VARCHAR)}, {'prop': 'italic', 'a': CAST(italic AS VARCHAR), 'b': CAST(italic <> (idx % 6 = 5) AS VARCHAR)}, {'prop': 'underline', 'a': CAST(underline AS VARCHAR), 'b': CAST(underline OR idx % 7 = 3 AS VARCHAR)},
   {'prop': 'color', 'a': color, 'b': CASE WHEN idx % 5 = 4 THEN NULL ELSE color END}]) AS c FROM formats)
 SELECT pair_id, idx, c.prop AS prop, c.a AS from_value, c.b AS to_value FROM p WHERE c.a IS DISTINCT FROM c.b""")
 def property_changes(spark, sf_dir):
     p = formatting.paragraph_formats(_runs(spark, sf_dir))
-    changed = {"font": F.when(F.col("idx") % 3 == 1, "Arial").otherwise(F.col("font")), "bold": F.col("bold") | (F.col("idx") % 2 == 1), "color": F.when(F.col("idx") % 5 != 4, F.col("color"))}
+    idx = F.col("idx")
+    changed = {"size": F.when(idx % 4 == 1, F.col("size") + 0.5).otherwise(F.col("size")), "italic": F.col("italic") != (idx % 6 == 5), "underline": F.col("underline") | (idx % 7 == 3)}
+    changed |= {"font": F.when(F.col("idx") % 3 == 1, "Arial").otherwise(F.col("font")), "bold": F.col("bold") | (F.col("idx") % 2 == 1), "color": F.when(F.col("idx") % 5 != 4, F.col("color"))}
     pairs = p.select("pair_id", "idx", *[F.col(c).alias(f"o_{c}") for c in formatting.PROPERTIES], *[changed.get(c, F.col(c)).alias(f"m_{c}") for c in formatting.PROPERTIES])
     return formatting.property_changes(pairs, ["pair_id", "idx"])
 
@@ -522,17 +522,17 @@ def _files(spark, sf_dir):
     """A file for each page: names of several kinds, contents that agree with them or not."""
     n = F.col("page_id") % 10
     name = F.concat(F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".pdf", ".pdf", ".csv", ".png", ".jpeg", ".exe", "", ".docx")]), (n + 1).cast("int")))
-    head = F.when(n == 2, F.lit(b"%PDF-1.7 ")).when(n == 5, F.lit(b"\x89PNG\r\n\x1a\n")).when(n == 6, F.lit(b"\xff\xd8\xff")).otherwise(F.lit(b""))
+    head = F.when(F.col("page_id") % 20 == 11, F.lit(b"\xff\xfe")).when(n == 2, F.lit(b"%PDF-1.7 ")).when(n == 5, F.lit(b"\x89PNG\r\n\x1a\n")).when(n == 6, F.lit(b"\xff\xd8\xff")).otherwise(F.lit(b""))
     return read(spark, sf_dir, "pages").select("page_id", name.alias("filename"), F.concat(head, F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("content"))
 
 
-@query("SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'pdf' WHEN 4 THEN 'csv' WHEN 5 THEN 'image' WHEN 6 THEN 'image' END AS format, page_id % 10 IN (3, 7, 8, 9) AS failed FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 20 = 11 THEN NULL ELSE CASE page_id % 10 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'pdf' WHEN 4 THEN 'csv' WHEN 5 THEN 'image' WHEN 6 THEN 'image' END END AS format, page_id % 10 IN (3, 7, 8, 9) OR page_id % 20 = 11 AS failed FROM pages")
 def format_detect(spark, sf_dir):
     d = _files(spark, sf_dir).select("page_id", detect.detected(F.col("filename"), F.col("content")).alias("d"))
     return d.select("page_id", "d.format", F.col("d.error").isNotNull().alias("failed"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 10 IN (0, 1) THEN 'text' WHEN page_id % 10 = 4 THEN 'csv' END AS format, CASE WHEN page_id % 10 IN (0, 1) THEN md5(coalesce(html, '')) END AS text_md5, page_id % 10 NOT IN (0, 1, 4) AS failed FROM pages")
+@query("SELECT page_id, CASE WHEN ok AND page_id % 10 IN (0, 1) THEN 'text' WHEN page_id % 10 = 4 THEN 'csv' END AS format, CASE WHEN ok AND page_id % 10 IN (0, 1) THEN md5(coalesce(html, '')) END AS text_md5, NOT ok AS failed FROM (SELECT *, page_id % 10 IN (0, 1, 4) AND page_id % 20 <> 11 AS ok FROM pages)")
 def extracted_text(spark, sf_dir):
     """All pages as files: texts as they are, CSV files as tables (csv_files has their rows), and the PDF and image files, which only begin like such, as errors."""
     out = parsers.extracted(_files(spark, sf_dir))

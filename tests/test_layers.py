@@ -56,6 +56,10 @@ def test_fast_rows_equal_alignment(spark):
     for r in out.orderBy("t", "seq").collect():
         got.setdefault(r.t, []).append((r.type, r.o_idx, r.m_idx, [tuple(c) for c in r.cell_changes]))
     assert 0 < len(other) < 30
+    every = {}
+    for r in tables.any_row_diff(df, ["t"]).orderBy("t", "seq").collect():
+        every.setdefault(r.t, []).append((r.type, r.o_idx, r.m_idx, [tuple(c) for c in r.cell_changes]))
+    assert every == {t: w for t, w in want.items() if w}
     for t in set(want) - other:
         assert got.get(t, []) == want[t]
 
