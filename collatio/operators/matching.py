@@ -23,6 +23,8 @@ from .similarity import provider
 LOCAL_CELLS = 4_000_000
 #: Most edges of a pair that are matched greedily within a task.
 LOCAL_EDGES = 1_000_000
+#: About how many matches, with their texts and segments, a task holds at a time.
+MATCHES_AT_ONCE = 5_000
 
 
 def split_pairs(pairs: DataFrame) -> DataFrame:
@@ -261,6 +263,10 @@ def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments:
     breaks = lambda c: F.length(F.coalesce(c, F.lit(""))) - F.length(F.regexp_replace(F.coalesce(c, F.lit("")), LINE_BREAK, "")) + 1
     large = breaks("original").cast("long") * breaks("modified") > LOCAL_CELLS
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["pair_id", *(c.split()[0] for c in MATCH.split(", ")), *["segments"] * segments])
+        return out.astype({"pos": "Int32", "o_idx": "Int32", "m_idx": "Int32"})
+
     def run(batches):
         for b in batches:
             rows = []
@@ -277,12 +283,14 @@ def semantic_matches(pairs: DataFrame, similarity: str | None = None, segments:
                     logging.getLogger(__name__).warning("no matches of pair %s", pair, exc_info=True)
                     found = [{"pair_id": pair, "type": None}]
                 rows += found
-            out = pd.DataFrame(rows, columns=["pair_id", *(c.split()[0] for c in MATCH.split(", ")), *["segments"] * segments])
-            yield out.astype({"o_idx": "Int32", "m_idx": "Int32"})
+                if len(rows) >= MATCHES_AT_ONCE:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     schema = f"pair_id {dict(pairs.dtypes)['pair_id']}, {MATCH}" + f", segments {SEGMENTS}" * segments
     local = pairs.where(~large).mapInPandas(run, schema)
-    if not pairs.where(large).take(1):
+    if not pairs.agg(F.max(large).alias("any")).first()["any"]:
         return local
     return local.unionByName(relational_matches(pairs.where(large), similarity, segments))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, too_long
 from ..operators import drawing, formatting, matching, raster, tables
-from ..operators.alignment import word_diff
+from ..operators.alignment import word_diffs
 from ..sources import parsers, storage
 from .scratch import written
 from .summary import PAGE_DIFFERS, visible_matches, with_summary
@@ -38,7 +38,7 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
     docs = written(docs.withColumn("error", F.coalesce("o.error", "m.error")), "documents")
     good = docs.where("error IS NULL")
     texts = good.select("pair_id", F.col("o.text").alias("original"), F.col("m.text").alias("modified"))
-    text = texts.select("pair_id", word_diff(F.col("original"), F.col("modified")).alias("d")).select("pair_id", "d.similarity", "d.segments", F.struct("d.added", "d.removed", "d.replaced", "d.equal").alias("stats"))
+    text = word_diffs(texts).select("pair_id", "similarity", "segments", F.struct("added", "removed", "replaced", "equal").alias("stats"))
     blank = lambda c: ~F.col(c).rlike(f"[^{SPACE}]")
     meaning = _meaning(texts.where(~blank("original") & ~blank("modified")))
     sheets = _tables(good.where((F.size("o.tables") > 0) & (F.size("m.tables") > 0)))

@@ -287,7 +287,7 @@ def word_diff_reconstruct(spark, sf_dir):
 
 @query()
 def word_diff_stats(spark, sf_dir):
-    return revised(spark, sf_dir).select("pair_id", alignment.word_diff(F.col("original"), F.col("modified")).alias("d")).select("pair_id", "d.similarity", *[f"d.{c}" for c in alignment.STATS])
+    return alignment.word_diffs(revised(spark, sf_dir), segments=False)
 
 
 # ---- tables ----------------------------------------------------------------------------------------
