@@ -162,24 +162,29 @@ def _shards(batches):
 
 
 def _matched(least: int):
-    """A function to (key, digest, mask): which windows of a context occur ``least`` times or more, by a suffix automaton of each shard."""
+    """A function to (key, digest, mask): which windows of a context that itself occurs less than ``least`` times occur so often, by a suffix automaton of each shard with the contexts of such contexts' anchors."""
 
     def match(batches):
         for shard in _shards(batches):
+            n, key = shard.n.to_numpy(), shard.key.to_numpy()
+            used = np.flatnonzero(np.isin(key, np.unique(key[n < least]))).tolist()
             ids: dict[str, int] = {}
-            contexts = [[ids.setdefault(w, len(ids)) for w in t.split(" ")] for t in shard.words]
+            contexts = [[ids.setdefault(w, len(ids)) for w in shard.words.iloc[i].split(" ")] for i in used]
             auto = SuffixAutomaton()
-            for c, n in zip(contexts, shard.n):
-                auto.add(c, n)
+            for i, c in zip(used, contexts):
+                auto.add(c, int(n[i]))
             auto.finish()
-            masks = []
-            for c in contexts:
-                mask = 0
-                for e, long in enumerate(auto.statistics(c, least)):
-                    if long >= LENGTH:
-                        mask |= 1 << (e - LENGTH + 1)
-                masks.append(mask)
-            yield pd.DataFrame({"key": shard.key.array, "digest": shard.digest.array, "mask": masks})
+            seldom, masks = [], []
+            for i, c in zip(used, contexts):
+                if n[i] < least:
+                    mask = 0
+                    for e, long in enumerate(auto.statistics(c, least)):
+                        if long >= LENGTH:
+                            mask |= 1 << (e - LENGTH + 1)
+                    seldom.append(i)
+                    masks.append(mask)
+            some = shard.iloc[seldom]
+            yield pd.DataFrame({"key": some.key.array, "digest": some.digest.array, "mask": masks})
 
     return match
 
@@ -218,8 +223,13 @@ def text_words(text: str | None) -> list[str]:
     return [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts, ends)]
 
 
-def _repeated(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0) -> DataFrame:
-    """(key, digest, mask) of different contexts (key, digest, n, nw, words) with windows that occur ``least`` times; ``keys`` has the contexts' keys.
+def _often(contexts: DataFrame, least: int) -> DataFrame:
+    """(key, digest, mask) of the contexts that occur ``least`` times themselves, so that all their windows do."""
+    return contexts.where(F.col("n") >= least).select("key", "digest", F.expr("shiftleft(1L, nw) - 1").alias("mask"))
+
+
+def _seldom(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0) -> DataFrame:
+    """(key, digest, mask) of those different contexts (key, digest, n, nw, words) that occur less than ``least`` times, but have windows that do not; ``keys`` has the contexts' keys.
 
     All contexts of an anchor meet in a shard. Where there are more than SPLIT_CONTEXTS, they are cut at finer anchors first; equal parts are
     counted as one context, and what is found of them goes back to the contexts that they were cut from. At the last level a part is one window, so an anchor
@@ -238,9 +248,9 @@ def _repeated(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0)
     parts = written(contexts.join(wide, "key", "left_semi").mapInPandas(_split(level), "key long, digest long, off int, finer long, part long, n long, nw int, words string"), "parts")
     finer = parts.groupBy(F.col("finer").alias("key"), F.col("part").alias("digest")).agg(F.sum("n").alias("n"), F.first("nw").alias("nw"), F.first("words").alias("words"))
     finer = written(finer, "finer")
-    again = written(_repeated(finer, finer, least, level + 1), "masks")
+    again = written(_seldom(finer, finer, least, level + 1).unionByName(_often(finer, least)), "masks")
     again = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
-    back = parts.select("key", "digest", "off", "finer", "part").join(again.toDF("finer", "part", "mask"), ["finer", "part"])
+    back = parts.where(F.col("n") < least).select("key", "digest", "off", "finer", "part").join(again.toDF("finer", "part", "mask"), ["finer", "part"])
     return masks.unionByName(back.groupBy("key", "digest").agg(F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask")))
 
 
@@ -267,9 +277,13 @@ def flagged(own: DataFrame, least: int = 2) -> DataFrame:
     runs = written(salted(runs, counts.select("key"), ["key"], counts.where(F.col("c") > most), ["rid", "lo"]), "repeated")
     distinct = runs.groupBy("key", "digest").agg(F.sum("weight").alias("n"), F.count("*").alias("c"), F.min(F.struct(*ROW, "lo", "nw")).alias("at"))
     distinct = written(distinct.select("key", "digest", "n", "c", "at.*"), "distinct")
-    carriers = distinct.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
+    # Anchors whose contexts all occur often enough need no automaton, and none of their words.
+    anchors_ = distinct.groupBy("key").agg(F.min("n").alias("low"), F.count("*").alias("m")).where(F.col("low") < least)
+    anchors_ = written(anchors_, "anchors")
+    some = written(salted(distinct, anchors_.select("key"), ["key"], anchors_.where(F.col("m") > most), ["digest"]).select("key", "digest", "n", *ROW, "lo", "nw"), "some")
+    carriers = some.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
     contexts = own.join(carriers, ROW).select(*own.columns, "spans").mapInPandas(_contexts, "key long, digest long, n long, nw int, words string")
-    masks = _repeated(contexts, distinct, least)
+    masks = _seldom(contexts, some, least).unionByName(_often(distinct, least))
     found = salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], distinct.where(F.col("c") > most), ["rid", "lo"])
     return found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
 
@@ -296,9 +310,9 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
 
     The reference of a document is the rest of the corpus, which no broadcast holds, so its automata come in shards that
     meet the documents' parts in a shuffle. Windows fall to anchors (the smallest hash of eight words in them), equal windows to equal anchors. Anchors
-    seen once are dropped; different contexts of the others are counted, and each shard holds all contexts of some anchors in
+    seen once are dropped; different contexts of the others are counted. Those that occur twice go as they are; for the others each shard holds all contexts of some anchors in
     a suffix automaton, through which they are streamed for the longest run that occurs twice. The automata compare words, so hashes
-    only route. An anchor with more than SPLIT_CONTEXTS different contexts is split at finer anchors (see _repeated); rows of anchors
+    only route. An anchor with more than SPLIT_CONTEXTS different contexts is split at finer anchors (see _seldom); rows of anchors
     and contexts that very many places share are joined over several tasks.
     """
     keep = tuple(c for c in keep if c not in ("doc_id", "text"))
