@@ -189,9 +189,16 @@ def _matched(least: int):
     return match
 
 
+def _few(batches, n: int):
+    """Parts of at most ``n`` rows, so that what is made of them stays small."""
+    for b in batches:
+        for lo in range(0, len(b), n):
+            yield b.iloc[lo : lo + n]
+
+
 def _contexts(batches):
     """The words of the contexts that a text carries for all."""
-    for b in batches:
+    for b in _few(batches, 250):
         rows: dict[str, list] = {k: [] for k in ("key", "digest", "n", "nw", "words")}
         for text, spans in zip(b.text, b.spans):
             words = text_words(text)
@@ -205,7 +212,7 @@ def _split(level: int):
     """A function that cuts contexts into those of finer anchors: (key, digest, off, finer, part, n, nw, words), off being the first window's place in the context."""
 
     def cut(batches):
-        for b in batches:
+        for b in _few(batches, 500):
             rows: dict[str, list] = {k: [] for k in ("key", "digest", "off", "finer", "part", "n", "nw", "words")}
             for key, digest, n, text in zip(b.key, b.digest, b.n, b.words):
                 words = text.split(" ")
@@ -321,7 +328,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = Fals
     own = own.select("*", *row_ids(), F.lit(1).alias("weight"))
 
     def remove(batches):
-        for b in batches:
+        for b in _few(batches, 500):
             rows: dict[str, list] = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
             for text, spans in zip(b.text, b.spans):
                 data, starts, ends, _ = word_hashes(text or "")
@@ -380,7 +387,7 @@ def without_reference(docs: DataFrame, reference: DataFrame, most: int = REFEREN
         other = reference.select(F.lit(None).cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", *row_ids(), F.lit(1).alias("weight"))
 
         def remove(batches):
-            for b in batches:
+            for b in _few(batches, 500):
                 words = [text_words(t) for t in b.text]
                 left = [_uncovered(len(w), s) for w, s in zip(words, b.spans)]
                 yield pd.DataFrame({"doc_id": b.doc_id.array, "text": [t if t is None or k.all() else joined(w, k) for t, w, k in zip(b.text, words, left)]})
