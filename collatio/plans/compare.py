@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.text import SPACE, too_long
 from ..operators import drawing, formatting, matching, raster, tables
@@ -19,6 +20,10 @@ NO_MEANING = "The paragraphs could not be matched by meaning."
 NO_FORMATS = "Fonts and styles could not be compared."
 BROKEN = "The comparison of these two files broke off."
 STYLED = ("docx", "pdf")
+FORMATTING = (
+    "struct<changes:array<struct<out_idx:int,type:string,original_text:string,modified_text:string,changed_properties:array<struct<prop:string,from_value:string,to_value:string>>>>,"
+    f"stats:struct<{','.join(f'{t}:bigint' for t in formatting.STATS)}>>"
+)
 
 
 def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None = None, plain: bool = False, images: str | None = None) -> DataFrame:
@@ -44,10 +49,12 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
     sheets = _tables(good.where((F.size("o.tables") > 0) & (F.size("m.tables") > 0)))
     fits = lambda c: F.col(c).isin(*STYLED)
     styled = good.where(fits("o.format") & fits("m.format")).select("pair_id")
-    style, shown = _formats(pairs, styled), _pages(pairs, good, styled, pages, images)
     if plain:
-        off = lambda layer: good.limit(0).select("pair_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in layer.schema[1:]])
-        sheets, style, shown = off(sheets), off(style), off(shown)
+        none = lambda name, kind, broken: good.limit(0).select("pair_id", F.lit(None).cast(kind).alias(name), F.lit(False).alias(broken))
+        fields = [f for f in StructType.fromDDL(raster.PAGE) if f.name not in ("pair_id", "images")]
+        style, shown = none("formatting_diff", FORMATTING, "no_formats"), none("visual_diff", ArrayType(StructType(fields)), "no_pages")
+    else:
+        style, shown = _formats(pairs, styled), _pages(pairs, good, styled, pages, images)
     out = docs
     for layer in (text, sheets, meaning, style, shown):
         out = out.join(layer, "pair_id", "left")

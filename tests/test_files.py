@@ -180,3 +180,9 @@ def test_limits_and_nulls(spark, text):
     assert (got.status == "failed") == (text is not None) and (text is not None or got.similarity == 0.0)
 
 
+
+
+def test_plain_texts_have_the_columns_of_files(spark):
+    texts = compare_texts(spark.createDataFrame([(1, "a", "b")], "pair_id long, original string, modified string"))
+    files = compare_files(spark.createDataFrame([(1, "a.pdf", built([shown("some words in a file")]), "b.pdf", built([shown("other words in a file")]))], PAIRS))
+    assert [(f.name, f.dataType.simpleString()) for f in texts.schema] == [(f.name, f.dataType.simpleString()) for f in files.schema]
