@@ -81,11 +81,14 @@ def hot_from(total: int) -> int:
 
 
 def salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
-    """The inner join of rows with others, whose keys are unique. Rows of the keys in ``hot`` (see hot_from) are dealt over SALTS tasks by the hash of columns ``by``."""
-    mark = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("__salts")))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(mark, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts)).drop("__salts")
-    right = others.join(mark, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("__salts")
+    """The inner join of rows with others, whose keys are unique. Rows of the keys in ``hot`` (see hot_from) are dealt over SALTS tasks by the hash of columns ``by``.
+
+    Hot keys are known by a 64-bit hash, as a broadcast of single numbers takes a small part of the memory of one of whole keys; another key with that hash is dealt over tasks too.
+    """
+    mark = F.broadcast(hot.select(F.xxhash64(*keys).alias("__hot")).distinct())
+    spread = lambda df: df.withColumn("__key", F.xxhash64(*keys)).join(mark, F.col("__key") == F.col("__hot"), "left").withColumn("__salts", F.when(F.col("__hot").isNotNull(), SALTS).otherwise(1)).drop("__hot", "__key")
+    left = spread(rows).withColumn("__salt", F.pmod(F.xxhash64(*by), F.col("__salts"))).drop("__salts")
+    right = spread(others).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts").cast("long") - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
