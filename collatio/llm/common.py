@@ -72,7 +72,7 @@ def row_ids() -> list:
 
 
 #: A key is hot if it has so many rows, and more than this part of all: there are never more hot keys than parts, so a table of them may be broadcast.
-HOT_ROWS, HOT_PARTS, SALTS = 100, 50_000, 64
+HOT_ROWS, HOT_PARTS, SALTS = 10_000, 50_000, 64
 
 
 def hot_from(total: int) -> int:
@@ -80,11 +80,19 @@ def hot_from(total: int) -> int:
     return max(HOT_ROWS, total // HOT_PARTS)
 
 
-def salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
-    """The inner join of rows with others, whose keys are unique. Rows of the keys in ``hot`` (see hot_from) are dealt over SALTS tasks by the hash of columns ``by``.
+def hot_among(sizes: DataFrame, column: str, total: int) -> DataFrame | None:
+    """The rows of sizes whose count in ``column`` makes their key a hot one among ``total`` rows; None if no key is hot."""
+    most = hot_from(total)
+    return sizes.where(F.col(column) > most) if (sizes.agg(F.max(column)).first()[0] or 0) > most else None
+
+
+def salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str]) -> DataFrame:
+    """The inner join of rows with others, whose keys are unique. Rows of the keys in ``hot`` (see hot_among), if any, are dealt over SALTS tasks by the hash of columns ``by``.
 
     Hot keys are known by a 64-bit hash, as a broadcast of single numbers takes a small part of the memory of one of whole keys; another key with that hash is dealt over tasks too.
     """
+    if hot is None:
+        return rows.join(others, keys)
     mark = F.broadcast(hot.select(F.xxhash64(*keys).alias("__hot")).distinct())
     spread = lambda df: df.withColumn("__key", F.xxhash64(*keys)).join(mark, F.col("__key") == F.col("__hot"), "left").withColumn("__salts", F.when(F.col("__hot").isNotNull(), SALTS).otherwise(1)).drop("__hot", "__key")
     left = spread(rows).withColumn("__salt", F.pmod(F.xxhash64(*by), F.col("__salts"))).drop("__salts")

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_from, salted, written
+from .common import hot_among, hot_from, salted, written
 
 
-def _least(rows: DataFrame, most: int) -> DataFrame:
-    """rows (u, v) with ``m``, the least v of their u; rows of a u with more than ``most`` are dealt over several tasks."""
+def _least(rows: DataFrame, total: int | None) -> DataFrame:
+    """rows (u, v) with ``m``, the least v of their u; with ``total`` rows of a u that has very many are dealt over several tasks."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__c"))
-    return salted(rows, least.drop("__c"), ["u"], least.where(F.col("__c") > most), ["v"])
+    return salted(rows, least.drop("__c"), ["u"], None if total is None else least.where(F.col("__c") > hot_from(total)), ["v"])
 
 
-def _large(e: DataFrame, most: int) -> DataFrame:
-    both = _least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), most)
+def _large(e: DataFrame, total: int | None) -> DataFrame:
+    both = _least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), total)
     return both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
 
 
-def _small(e: DataFrame, most: int) -> DataFrame:
-    onto = _least(e, most).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+def _small(e: DataFrame, total: int | None) -> DataFrame:
+    onto = _least(e, total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
     return onto.select("s.u", "s.v").where("u != v").distinct()
 
 
@@ -35,8 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(oriented, "edges", "snappy")
     was = mark(now)
     while was[0]:
-        most = hot_from(was[0])
-        now = written(_small(_large(now, most), most), "edges", "snappy")
+        # No node has more neighbours than there are edges, so few edges need no look at them.
+        degrees = now.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("c"))
+        total = was[0] if was[0] > hot_from(was[0]) and hot_among(degrees, "c", was[0]) is not None else None
+        now = written(_small(_large(now, total), total), "edges", "snappy")
         new = mark(now)
         if new == was:
             break

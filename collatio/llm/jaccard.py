@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, gram_hashes, hot_from, mixed, row_ids, salted, table, word_hashes, written
+from .common import ROW, gram_hashes, hot_among, mixed, row_ids, salted, table, word_hashes, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -203,9 +203,9 @@ def linked(docs: DataFrame) -> DataFrame:
     groups = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct(*ROW)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     groups = written(groups.select("key", "n", "first_id", "row.*", "size", "bands", F.xxhash64("key").alias("node")), "groups")
     banded = groups.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("m")).where("hub != other")
+    hubs = written(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("m")).where("hub != other").drop("other"), "hubs")
     total, n_banded = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()
-    stars = salted(banded, hubs.drop("other", "m"), ["band"], hubs.where(F.col("m") > hot_from(n_banded)), ["node"]).where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    stars = salted(banded, hubs.drop("m"), ["band"], hot_among(hubs, "m", n_banded), ["node"]).where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     members = groups.select("key", "n", *ROW, "size", "node").join(components(stars).withColumnRenamed("root", "comp"), "node")
     cells = _cells(written(members, "members"), groups)
     texts = own.select(*ROW, "text").join(cells.groupBy(*ROW).agg(F.collect_list(F.struct("key", "n", "comp", "blk", "band", "g1", "g2", "g3")).alias("to")), ROW).dropDuplicates(ROW)
@@ -215,9 +215,9 @@ def linked(docs: DataFrame) -> DataFrame:
     info = groups.select("key", "n", "first_id").join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     info = info.withColumn("class_key", F.coalesce("root", "key"))
     heads = written(info.groupBy("class_key").agg(F.min("first_id").alias("class_id"), F.count("*").alias("m")), "heads")
-    info = salted(info, heads.drop("m"), ["class_key"], heads.where(F.col("m") > hot_from(total)), ["key"])
+    info = salted(info, heads.drop("m"), ["class_key"], hot_among(heads, "m", total), ["key"])
     info = info.select("key", "class_key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies"))
-    out = salted(signed.where(F.col("key").isNotNull()).select("doc_id", *ROW, "key"), info, ["key"], groups.where(F.col("n") > hot_from(total)), ROW)
+    out = salted(signed.where(F.col("key").isNotNull()).select("doc_id", *ROW, "key"), info, ["key"], hot_among(groups, "n", total), ROW)
     out = out.select("doc_id", *ROW, "class_key", "class_id", "n_links", "n_copies")
     alone = signed.where(F.col("key").isNull()).select("doc_id", *ROW, F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone)
@@ -230,7 +230,8 @@ def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
     total, shingled = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bins = max(1, -(-total // BLOCK), -(-shingled // BLOCK_SHINGLES))
     sizes = many(members, "comp")
-    sized = salted(members, sizes.select("comp", blocks.alias("nb")), ["comp"], sizes.where(F.col("m") > hot_from(total)), ["key"])
+    sizes = written(sizes, "sizes")
+    sized = salted(members, sizes.select("comp", blocks.alias("nb")), ["comp"], hot_among(sizes, "m", total), ["key"])
     block = F.pmod(F.xxhash64(F.lit(9), "key"), F.col("nb").cast("long")).cast("int").alias("blk")
     no_band, columns = F.lit(-1).alias("band"), ["key", "n", *ROW, "comp", "blk", "band", "g1", "g2", "g3"]
     small = sized.where("nb = 1").select("key", "n", *ROW, "comp", F.lit(0).alias("blk"), no_band, F.pmod(F.xxhash64(F.lit(5), "comp"), F.lit(bins)).alias("g1"), F.lit(-1).alias("g2"), F.lit(-1).alias("g3"))
@@ -242,8 +243,8 @@ def _cells(members: DataFrame, groups: DataFrame) -> DataFrame:
     if giant.take(1):
         giant = giant.select("key", "n", *ROW, "size").join(groups.select("key", "bands"), "key").select("key", "n", *ROW, "size", F.posexplode("bands").alias("band", "value"))
         giant = written(giant, "giant")
-        buckets = many(giant, "value").where("m > 1")
-        bucketed = salted(giant, buckets.select("value", blocks.alias("nb")), ["value"], buckets.where(F.col("m") > hot_from(giant.count())), ["key"])
+        buckets = written(many(giant, "value").where("m > 1"), "buckets")
+        bucketed = salted(giant, buckets.select("value", blocks.alias("nb")), ["value"], hot_among(buckets, "m", giant.count()), ["key"])
         bucketed = bucketed.select("*", block).select("*", to).select("key", "n", *ROW, F.col("value").alias("comp"), "blk", "band", F.xxhash64(F.lit(6), "value").alias("g1"), *pairs)
         out = out.union(bucketed.select(columns))
     return out

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, _POWERS, gram_hashes, hot_from, mixed, row_ids, salted, table, word_hashes, written
+from .common import ROW, _POWERS, gram_hashes, hot_among, mixed, row_ids, salted, table, word_hashes, written
 
 LENGTH, GRAM = 35, 8
 #: Words of one shard's automaton, and most different contexts of one anchor that go to a shard as they are.
@@ -280,18 +280,18 @@ def flagged(own: DataFrame, least: int = 2) -> DataFrame:
     runs = written(own.select(*ROW, "weight", "text").mapInPandas(scan, "rid long, rid2 long, weight int, key long, digest long, lo int, nw int"), "runs")
     counts = runs.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where((F.col("c") > 1) & (F.col("w") >= least))
     counts = written(counts, "counts")
-    most = hot_from(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    runs = written(salted(runs, counts.select("key"), ["key"], counts.where(F.col("c") > most), ["rid", "lo"]), "repeated")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    runs = written(salted(runs, counts.select("key"), ["key"], hot_among(counts, "c", total), ["rid", "lo"]), "repeated")
     distinct = runs.groupBy("key", "digest").agg(F.sum("weight").alias("n"), F.count("*").alias("c"), F.min(F.struct(*ROW, "lo", "nw")).alias("at"))
     distinct = written(distinct.select("key", "digest", "n", "c", "at.*"), "distinct")
     # Anchors whose contexts all occur often enough need no automaton, and none of their words.
     anchors_ = distinct.groupBy("key").agg(F.min("n").alias("low"), F.count("*").alias("m")).where(F.col("low") < least)
     anchors_ = written(anchors_, "anchors")
-    some = written(salted(distinct, anchors_.select("key"), ["key"], anchors_.where(F.col("m") > most), ["digest"]).select("key", "digest", "n", *ROW, "lo", "nw"), "some")
+    some = written(salted(distinct, anchors_.select("key"), ["key"], hot_among(anchors_, "m", total), ["digest"]).select("key", "digest", "n", *ROW, "lo", "nw"), "some")
     carriers = some.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
     contexts = own.join(carriers, ROW).select(*own.columns, "spans").mapInPandas(_contexts, "key long, digest long, n long, nw int, words string")
     masks = _seldom(contexts, some, least).unionByName(_often(distinct, least))
-    found = salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], distinct.where(F.col("c") > most), ["rid", "lo"])
+    found = salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], hot_among(distinct, "c", total), ["rid", "lo"])
     return found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
 
 

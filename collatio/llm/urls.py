@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_from, salted, sampled, table
+from .common import hot_among, salted, sampled, table
 
 #: (host and path, verdict); a rule's host is up to its first slash.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -53,7 +53,7 @@ def rules_joined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     fits = asked.select("host", "path", "of", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("begins")).join(rules, ["of", "begins"])
     best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "says")).alias("x")).select("host", "path", F.col("x.rule").alias("rule"), F.col("x.says").alias("__says"))
     every = places.join(best, ["host", "path"], "left").drop("c")
-    return salted(urls, every, ["host", "path"], places.where(F.col("c") > hot_from(urls.count())), ["page_id", "__url"])
+    return salted(urls, every, ["host", "path"], hot_among(places, "c", urls.count()), ["page_id", "__url"])
 
 
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "secure", "path_length", "extension")

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_from, salted, scratch_path, table
+from .common import hot_among, salted, scratch_path, table, written
 
 REVISIT_FROM = 1000
 #: Fixed value: the profile of records whose payload is that of another.
@@ -54,10 +54,11 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM,
     )
     same = (F.col("s0") == F.col("s1")) & (F.col("m0") == F.col("m1")) & (F.col("z0") == F.col("z1"))
     groups = groups.select("sha256", "c", F.when(same, F.col("owner")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("owner"), F.col("first.url").alias("owner_url"))
+    groups = written(groups, "groups")
     hashed.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     equal = narrow.groupBy("page_id", "url", "sha256", "sha1", "size").agg(F.count("*").alias("copies"))
-    most = hot_from(pages.count())
-    rows = salted(equal, groups.drop("c"), ["sha256"], groups.where(F.col("c") > most), ["page_id", "url"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    hot = hot_among(groups, "c", groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    rows = salted(equal, groups.drop("c"), ["sha256"], hot, ["page_id", "url"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     revisit = (F.col("size") >= revisit_from) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     page = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _line("Content-Type", "text/html; charset=utf-8"), _line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
@@ -91,7 +92,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(F.raise_error(F.lit("a stored payload differs from its digest")))
     stored = stored.select(sound.alias("sha256"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     heads = spark.read.schema("page_id long, sha256 string, header binary").parquet(f"{path}/headers")
-    often = heads.groupBy("sha256").agg(F.count("*").alias("c")).where(F.col("c") > hot_from(heads.count()))
+    often = hot_among(heads.groupBy("sha256").agg(F.count("*").alias("c")), "c", heads.count())
     said = F.decode("header", "UTF-8")
     refers = F.regexp_extract(said, r"\r\nRefers-To-Page-ID: (-?\d+)\r\n", 1)
     heads = heads.select("page_id", "sha256", "header", F.regexp_extract(said, r"^WARC/1\.1\r\nWARC-Type: (\w+)", 1).alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
