@@ -17,6 +17,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+#: Most rows of an Arrow batch of whole texts. Spark's default of 10,000 would hold some hundred megabytes of texts in every task, on both sides.
+TEXT_BATCH = 1000
+
+
+def in_text_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends few texts at a time to Python; a size that the session has set itself stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_BATCH))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

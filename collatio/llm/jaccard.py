@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, gram_hashes, hot_among, mixed, row_ids, salted, table, word_hashes, written
+from .common import ROW, gram_hashes, hot_among, in_text_batches, mixed, row_ids, salted, table, word_hashes, written
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -199,7 +199,7 @@ def linked(docs: DataFrame) -> DataFrame:
                         bands[i] = row
                 yield pd.DataFrame({"doc_id": few.doc_id.array} | {c: few[c].array for c in ROW} | {"key": [set_key(s) for s in sets], "size": [len(s) for s in sets], "bands": bands})
 
-    signed = written(own.mapInPandas(sign, f"doc_id {kind}, rid long, rid2 long, key binary, size int, bands array<long>"), "signed")
+    signed = written(in_text_batches(own).mapInPandas(sign, f"doc_id {kind}, rid long, rid2 long, key binary, size int, bands array<long>"), "signed")
     groups = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct(*ROW)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     groups = written(groups.select("key", "n", "first_id", "row.*", "size", "bands", F.xxhash64("key").alias("node")), "groups")
     banded = groups.select("node", F.explode("bands").alias("band"))

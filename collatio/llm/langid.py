@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_text_batches, table
 
 #: Most labelled documents of a language that the field is trained on, its rounds, and words of a training sequence.
 SAMPLE, ROUNDS, SEQUENCE, SEED = 250, 40, 64, 17
@@ -274,7 +274,7 @@ def identified(docs: DataFrame, field: Field | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b.doc_id.array, "held_out": b.held_out.array, "lang_pred": pred, "score": score})
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return own.mapInPandas(label, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return in_text_batches(own).mapInPandas(label, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def tagged(field: Field, text: str) -> list[tuple[str, str, float]]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_text_batches, table
 
 #: Sentences as they stand in the licences' public texts, normalised (letters and digits, lower case, single blanks), by identifier.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -252,7 +252,7 @@ def scanned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     text = F.col("text").cast("string")
     worth = docs.select(*keep, F.when(text.rlike(ANCHORS), text).alias("__text"))
-    return worth.mapInPandas(scan, ", ".join(f"`{c}` {typed[c]}" for c in keep) + ", sentence_ids string, licenses string, n_licenses long")
+    return in_text_batches(worth).mapInPandas(scan, ", ".join(f"`{c}` {typed[c]}" for c in keep) + ", sentence_ids string, licenses string, n_licenses long")
 
 
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import in_text_batches, table, written
 
 WINDOW, END = 4096, 2
 CACHED_WORDS = 300_000
@@ -109,7 +109,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
                 at += int(n.sum())
                 yield pd.DataFrame({"part": part, "at": before, "doc_id": few.doc_id.array, "n": n, "ids": ids})
 
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, f"part int, at long, doc_id {dict(docs.dtypes)['doc_id']}, n long, ids binary")
+    return in_text_batches(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, f"part int, at long, doc_id {dict(docs.dtypes)['doc_id']}, n long, ids binary")
 
 
 def packed(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:

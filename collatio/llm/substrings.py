@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, _POWERS, gram_hashes, hot_among, mixed, row_ids, salted, table, word_hashes, written
+from .common import ROW, _POWERS, gram_hashes, hot_among, in_text_batches, mixed, row_ids, salted, table, word_hashes, written
 
 LENGTH, GRAM = 35, 8
 #: Words of one shard's automaton, and most different contexts of one anchor that go to a shard as they are.
@@ -277,7 +277,7 @@ def flagged(own: DataFrame, least: int = 2) -> DataFrame:
                 ids = {c: np.repeat(few[c].to_numpy(), size) for c in (*ROW, "weight")}
                 yield pd.DataFrame(ids | {"key": key, "digest": digest, "lo": first.astype(np.int32), "nw": count.astype(np.int32)})
 
-    runs = written(own.select(*ROW, "weight", "text").mapInPandas(scan, "rid long, rid2 long, weight int, key long, digest long, lo int, nw int"), "runs")
+    runs = written(in_text_batches(own).select(*ROW, "weight", "text").mapInPandas(scan, "rid long, rid2 long, weight int, key long, digest long, lo int, nw int"), "runs")
     counts = runs.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where((F.col("c") > 1) & (F.col("w") >= least))
     counts = written(counts, "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]

@@ -859,3 +859,14 @@ def test_another_reference(spark, most):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((r.doc_id, r.text) for r in substrings.without_reference(docs, spark.createDataFrame([(ref,), (None,), ("",)], "text string"), most).collect())
     assert got == collections.Counter([(1, "start end"), (2, " ".join(v[10:40])), (3, None), (4, rows[3][1]), (5, rows[4][1]), (None, ""), (6, ""), (6, "")])
+
+
+def test_text_batches_leave_a_chosen_size(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for given, want in (("10000", str(common.TEXT_BATCH)), ("77", "77")):
+            spark.conf.set(key, given)
+            assert common.in_text_batches(docs) is docs and spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, old)
