@@ -246,7 +246,6 @@ def _seldom(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0) ->
     n_wide = wide.count()
     narrow = contexts
     if n_wide:
-        contexts = written(contexts, "contexts")
         wide = F.broadcast(wide) if n_wide <= BROADCAST_KEYS else wide
         narrow = contexts.join(wide, "key", "left_anti")
     masks = narrow.repartition("key").sortWithinPartitions("key").mapInPandas(_matched(least), "key long, digest long, mask long").where("mask != 0")
@@ -262,10 +261,7 @@ def _seldom(contexts: DataFrame, keys: DataFrame, least: int, level: int = 0) ->
 
 
 def flagged(own: DataFrame, least: int = 2) -> DataFrame:
-    """(ROW, spans) of the rows (ROW, text, weight) with windows that occur ``least`` times, by the rows' weights: spans are (lo, mask), bit i for the window at word lo + i.
-
-    All joins with ``own`` ask for all its columns, so that its texts are shuffled once and that exchange is used again.
-    """
+    """(ROW, spans) of the rows (ROW, text, weight) with windows that occur ``least`` times, by the rows' weights: spans are (lo, mask), bit i for the window at word lo + i."""
 
     def scan(batches):
         for b in batches:
@@ -290,6 +286,7 @@ def flagged(own: DataFrame, least: int = 2) -> DataFrame:
     some = written(salted(distinct, anchors_.select("key"), ["key"], hot_among(anchors_, "m", total), ["digest"]).select("key", "digest", "n", *ROW, "lo", "nw"), "some")
     carriers = some.groupBy(*ROW).agg(F.collect_list(F.struct("key", "digest", "n", "lo", "nw")).alias("spans"))
     contexts = own.join(carriers, ROW).select(*own.columns, "spans").mapInPandas(_contexts, "key long, digest long, n long, nw int, words string")
+    contexts = written(contexts, "contexts")  # whether or not an anchor has to be split, so that the work is alike at every size
     masks = _seldom(contexts, some, least).unionByName(_often(distinct, least))
     found = salted(runs.select(*ROW, "key", "digest", "lo"), masks, ["key", "digest"], hot_among(distinct, "c", total), ["rid", "lo"])
     return found.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "mask")).alias("spans"))
