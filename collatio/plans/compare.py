@@ -10,7 +10,7 @@ from ..functions.text import SPACE, too_long
 from ..operators import drawing, formatting, matching, raster, tables
 from ..operators.alignment import word_diffs
 from ..sources import parsers, storage
-from .scratch import written
+from .scratch import spread, written
 from .summary import PAGE_DIFFERS, visible_matches, with_summary
 
 ONE_SIDED_TABLES = "Only one of the two files has tables, so rows and cells were not compared; the texts were."
@@ -35,12 +35,11 @@ def compare_files(pairs: DataFrame, pages: tuple[DataFrame, DataFrame] | None =
     Pages of Word and PDF pairs are drawn by the provider ``raster`` (drawing.pages if none is registered), or given as ``pages``, rasters of the original and modified sides.
     With ``images``, a path, the difference images are stored there under the keys that the result names (storage.get_objects reads them).
     """
-    docs = None
+    docs = pairs.select("pair_id", *[f"{s}_{c}" for s in ("original", "modified") for c in ("name", "content")])
     for side in ("original", "modified"):
-        files = pairs.select("pair_id", F.col(f"{side}_name").alias("filename"), F.col(f"{side}_content").alias("content"))
-        one = parsers.extracted(files).select("pair_id", F.col("doc").alias(side[0]))
-        docs = one if docs is None else docs.join(one, "pair_id")
-    docs = written(docs.withColumn("error", F.coalesce("o.error", "m.error")), "documents")
+        files = docs.withColumnsRenamed({f"{side}_name": "filename", f"{side}_content": "content"})
+        docs = parsers.extracted(files).withColumnRenamed("doc", side[0]).drop("filename", "content")
+    docs = spread(written(docs.withColumn("error", F.coalesce("o.error", "m.error")), "documents"))
     good = docs.where("error IS NULL")
     texts = good.select("pair_id", F.col("o.text").alias("original"), F.col("m.text").alias("modified"))
     text = word_diffs(texts).select("pair_id", "similarity", "segments", F.struct("added", "removed", "replaced", "equal").alias("stats"))
