@@ -1,4 +1,4 @@
-"""Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows."""
+"""Quality rules: an isolation forest on rule statistics, its trees and its threshold from all labelled rows."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, in_text_batches, sampled, table
+from .common import BLANKS, WORD, in_text_batches, table, written
 
-SAMPLE, TREES, POINTS, SEED, LOSS = 3000, 100, 256, 11, 0.005
+TREES, POINTS, SEED, LOSS = 100, 256, 11, 0.005
+#: Levels of a tree whose rows are counted, and digits of its scores: bounds of what comes to the driver, however many rows there are.
+LEVELS, DIGITS = 10, 4
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(WORD)
 _SYMBOL_CODES = np.frombuffer(SYMBOLS.encode(), np.uint8)
@@ -54,7 +56,7 @@ def rule_stats(text: str | None) -> tuple[list[int], list[float]]:
 
 
 class IsolationForest:
-    """Trees of random splits over subsamples; anomalies have short paths. Flat arrays: child -1 marks a leaf.
+    """Trees of random splits over subsamples of points in memory; anomalies have short paths. Flat arrays: child -1 marks a leaf. Documents are judged by CountedForest.
 
     Splits are drawn from a node's box, which begins as ``box`` (lowest and highest values of each
     feature), not from the range of the points in it: a feature that never varies among the points still parts
@@ -110,47 +112,115 @@ class IsolationForest:
         return 2.0 ** (-(total / len(self.roots)) / max(self.mean_path(self.points), 1e-9))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float = LOSS) -> tuple[IsolationForest | None, float]:
-    """The forest and the score above which a document goes.
+class CountedForest(IsolationForest):
+    """The same forest of any number of rows: splits depend on the box alone, so a tree is drawn first and the rows that reach each of its leaves are counted afterwards, wherever they stand.
 
-    At most ``sample`` labelled rows of either quality, the first by a seeded hash of the id, come to the driver as
-    feature rows. Trees are grown on the good rows; the threshold is the one that catches most bad rows
-    while it drops at most ``loss`` of the good ones. Without labels of both kinds nothing is dropped.
+    Trees have ``levels`` levels, nodes of a tree the order of a heap. Scores have DIGITS digits, so that rows may be counted by score.
     """
-    picked = None
-    for quality in (0, 1):
-        one = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(quality).alias("quality")).distinct()
-        one = sampled(one, sample, SEED, "doc_id")
-        picked = one if picked is None else picked.union(one)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("quality", "text")  # at most 2 * sample ids
+
+    def __init__(self, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, levels: int = LEVELS, seed: int = SEED):
+        rng, self.levels, self.points = np.random.default_rng(seed), levels, 0
+        low, high = (np.tile(np.asarray(x, dtype=float), (trees, 1, 1)) for x in box)
+        open_ = np.flatnonzero(high[0, 0] > low[0, 0])
+        open_ = open_ if len(open_) else np.arange(low.shape[2])
+        features, cuts = [], []
+        for level in range(levels):
+            f = open_[rng.integers(len(open_), size=(trees, 1 << level))][..., None]
+            least, most = (np.take_along_axis(x, f, 2) for x in (low, high))
+            cut = least + (most - least) * rng.random(f.shape)
+            features.append(f[..., 0])
+            cuts.append(cut[..., 0])
+            low, high = np.repeat(low, 2, 1), np.repeat(high, 2, 1)
+            left, right = high[:, ::2].copy(), low[:, 1::2].copy()
+            np.put_along_axis(left, f, cut, 2)
+            np.put_along_axis(right, f, cut, 2)
+            high[:, ::2], low[:, 1::2] = left, right
+        self.feature, self.cut = np.concatenate(features, 1).astype(np.int8), np.concatenate(cuts, 1)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """For each tree the number of the leaf that each row reaches."""
+        out, at_row = np.zeros((len(self.feature), len(x)), np.int32), np.arange(len(x))
+        for node, feature, cut in zip(out, self.feature, self.cut):
+            for _ in range(self.levels):
+                node[:] = 2 * node + 1 + (x[at_row, feature[node]] >= cut[node])
+        return out - ((1 << self.levels) - 1)
+
+    def count(self, rows: np.ndarray) -> CountedForest:
+        """Takes the rows of each leaf of each tree. A path ends at the first node of fewer than two rows, or at the leaf, and is longer by the mean path among the leaf's rows."""
+        trees, n = rows.shape
+        sizes = np.maximum(rows, 2).astype(float)
+        rest = np.where(rows > 2, 2 * (np.log(sizes - 1) + 0.5772156649) - 2 * (sizes - 1) / sizes, (rows == 2) * 1.0)
+        self.path = self.levels + rest
+        for level in range(self.levels - 1, -1, -1):
+            few = rows.reshape(trees, 1 << level, -1).sum(2) < 2
+            self.path = np.where(np.repeat(few, n >> level, 1), level, self.path)
+        self.points = int(rows[0].sum())
+        return self
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        mean = np.take_along_axis(self.path, self.leaves(x), 1).mean(0) if len(x) else np.zeros(0)
+        return np.round(2.0 ** (-mean / max(self.mean_path(self.points), 1e-9)), DIGITS)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality, x): the features of every document with a label of quality 0 or 1. Texts become features where they stand, and only these are joined."""
 
     def features(batches):
         for b in batches:
-            yield pd.DataFrame({"quality": b.quality.array, "h": b.h.array, "x": [rule_stats(t)[1] for t in b.text]})
-
-    # Texts become features where they stand; repeated ids may give more rows than were picked.
-    rows = texts.select("quality", F.xxhash64(F.lit(SEED), "text").alias("h"), "text").mapInPandas(features, "quality int, h long, x array<double>")
-    rows = rows.orderBy("h", "quality").limit(2 * sample).collect()
-    good = np.array([r.x for r in rows if r.quality == 1])
-    bad = np.array([r.x for r in rows if r.quality == 0])
-    if len(good) < 2 or not len(bad):
+            yield pd.DataFrame({"doc_id": b.doc_id.array, "x": [rule_stats(t)[1] for t in b.text]})
+
+    texts = in_text_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL"))
+    judged_by = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
+    return texts.mapInPandas(features, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>").join(judged_by, "doc_id").select(F.col("quality").cast("int").alias("quality"), "x")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> tuple[CountedForest | None, float]:
+    """The forest and the score above which a document goes, from all labelled rows.
+
+    The box of the trees is that of all of them, their leaves count all good ones; the threshold is the one that catches most bad rows
+    while it drops at most ``loss`` of the good ones. Only numbers of rows by leaf and by score come to the driver. Without labels of both kinds nothing is dropped.
+    """
+    rows = written(labelled_features(docs, labels), "labelled")
+    n = len(rule_stats(None)[1])
+    ends = [f(F.col("x")[i]) for f in (F.min, F.max) for i in range(n)]
+    first = rows.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0), *ends).first()
+    n_good, n_bad = first[0], first[1]
+    if n_good < 2 or not n_bad:
         return None, float("inf")
-    both = np.r_[good, bad]
-    forest = IsolationForest(good, (both.min(0), both.max(0)))
-    g, b = np.sort(forest.score(good)), forest.score(bad)
-    least = g[int(np.ceil((1 - loss) * len(g))) - 1]  # so few good rows lie above
-    between = np.r_[least, g[g > least], b[b > least]]
-    caught = [(np.sum(b > t) / len(b) - np.sum(g > t) / len(g), t) for t in np.unique(between)]
-    return forest, float(max(caught)[1])
+    forest = CountedForest((np.array(first[2 : 2 + n]), np.array(first[2 + n :])))
+    shape = len(forest.feature), 1 << forest.levels
+
+    def by_leaf(batches):
+        found = np.zeros(shape, np.int64)
+        for b in batches:
+            for own, leaves in zip(found, forest.leaves(np.array(b.x.tolist()).reshape(-1, n))):
+                own += np.bincount(leaves, minlength=shape[1])
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"leaf": at, "n": found.ravel()[at]})
+
+    counts = rows.where("quality = 1").select("x").mapInPandas(by_leaf, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(shape, np.int64)
+    found.ravel()[counts["leaf"].to_numpy()] = counts["n"].to_numpy()
+    forest.count(found)
+
+    def by_score(batches):
+        for b in batches:
+            yield pd.DataFrame({"quality": b.quality.array, "score": forest.score(np.array(b.x.tolist()).reshape(-1, n))})
+
+    scored = rows.mapInPandas(by_score, "quality int, score double").groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).orderBy("score").toArrow()
+    score, good, bad = (scored[c].to_numpy() for c in ("score", "good", "bad"))
+    least = int(np.searchsorted(np.cumsum(good), np.ceil((1 - loss) * n_good)))  # so few good rows lie above
+    worth = (n_bad - np.cumsum(bad)) / n_bad - (n_good - np.cumsum(good)) / n_good
+    return forest, float(max(zip(worth[least:], score[least:]))[1])
 
 
-def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id of every document, the columns ``keep`` as k_0, k_1 and so on, and s_ counts, s_base_failed, s_score and s_kept.
 
     Null and empty texts have no words and fail the base; texts are taken whole; repeated rows are judged alike,
     row for row; null ids are kept as they are; an empty table gives no rows.
     """
-    forest, threshold = fitted(docs, labels, sample)
+    forest, threshold = fitted(docs, labels)
     keep = tuple(c for c in keep if c != "doc_id")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

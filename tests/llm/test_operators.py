@@ -488,6 +488,37 @@ def test_forest_by_a_plain_form(spark):
     assert lost(threshold) <= 0.05 and np.mean([s > threshold for s in b]) - lost(threshold) == pytest.approx(max(worth.values()))
 
 
+def test_forest_and_threshold_of_all_labelled_rows(spark):
+    """With more labelled rows than ever were sampled: every good row is in a leaf of each tree, paths by walking down the counts, the threshold by trying every value on all rows."""
+    rnd = random.Random(23)
+    texts = [(i, " ".join(rnd.choice(["word", "other", "A", "No!", "7"]) for _ in range(rnd.randrange(3, 9)))) for i in range(3600)] + [(i, " ".join(rnd.choice(["WORD!!", "$", "x"]) for _ in range(6))) for i in range(3600, 6800)]
+    labels = spark.createDataFrame([(i, int(i < 3600), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    forest, threshold = quality.fitted(frame(spark, texts), labels)
+    x = np.array([quality.rule_stats(t)[1] for _, t in texts])
+    good, bad = x[:3600], x[3600:]
+    assert forest.points == 3600
+    first = 2**forest.levels - 1
+
+    def walk(row, k):
+        node, path = 0, [0]
+        while node < first:
+            node = 2 * node + 1 + (row[forest.feature[k][node]] >= forest.cut[k][node])
+            path.append(node)
+        return path
+
+    for k in range(0, 100, 33):
+        reached = collections.Counter(n for row in good for n in walk(row, k))
+        for row in (*good[:15], *bad[:15]):
+            path = walk(row, k)
+            end = next((d for d, n in enumerate(path) if reached[n] < 2), None)
+            want = end if end is not None else forest.levels + quality.IsolationForest.mean_path(reached[path[-1]])
+            assert forest.path[k][path[-1] - first] == pytest.approx(want)
+    g, b = forest.score(good), forest.score(bad)
+    worth = {t: np.mean(b > t) - np.mean(g > t) for t in {*g, *b} if np.mean(g > t) <= quality.LOSS}
+    assert np.mean(g > threshold) <= quality.LOSS and worth[threshold] == pytest.approx(max(worth.values()))
+    assert np.mean(b > threshold) > 0.9
+
+
 # ---- 8 ----
 
 
