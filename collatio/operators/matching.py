@@ -80,7 +80,10 @@ def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
 def greedy_pairs(edges: DataFrame, floor: float = 0.0) -> DataFrame:
     """The rows of edges (pair_id, o_idx, m_idx, sim) that a greedy matching takes: highest similarity first, ties by o_idx, m_idx."""
     schema = edges.select("pair_id", "o_idx", "m_idx", "sim").schema
-    return edges.where(F.col("sim") >= floor).select("pair_id", "o_idx", "m_idx", "sim").groupBy("pair_id").applyInPandas(_greedy, schema)
+    edges = edges.where(F.col("sim") >= floor).select("pair_id", "o_idx", "m_idx", "sim")
+    # Edges take few bytes and a pair's matching milliseconds, so that partitions must not be merged by size.
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")
+    return edges.groupBy("pair_id").applyInPandas(_greedy, schema)
 
 
 def greedy_rounds(edges: DataFrame, floor: float = 0.0, most: int = LOCAL_EDGES) -> DataFrame:
